@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task contracts by union-find; about 200 bytes of memory each.
+TASK_EDGES = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``; where it is unset (local tests), a temporary folder becomes it."""
@@ -39,34 +44,71 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _forest(batches):
+    """Edges (a, b) of one task -> an edge from every node to the smallest node that it reaches by them."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if len(b)]
+    if not parts:
+        return
+    names, at = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
+    pairs = np.split(at, np.cumsum([len(x) for p in parts for x in p])[:-1])
+    root = list(range(len(names)))  # names are sorted, so the smallest position is the smallest node
+    for a, b in zip(pairs[0::2], pairs[1::2], strict=True):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            while root[y] != y:
+                root[y] = root[root[y]]
+                y = root[y]
+            if x < y:
+                root[y] = x
+            elif y < x:
+                root[x] = y
+    for x in range(len(root)):
+        root[x] = root[root[x]]  # parents come first
+    for lo in range(0, len(names), 50_000):
+        hi = lo + 50_000
+        yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), pa.array(names[np.array(root[lo:hi])])], names=["a", "b"])
+
+
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """Large star: larger neighbours of a node go to its smallest; small star: smaller neighbours and itself do."""
+    sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+    low = sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    out = sym.join(low, "a")
+    if large:
+        return out.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node of the edges (a, b); the component is its smallest node.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each
-    replaces edges by edges to the smallest neighbour, so a hub never needs
-    its neighbours in one place; rounds grow with the logarithm of the
-    longest path.  Minima are combined before they are shuffled.
+    Tasks first contract their share of the edges to a forest, in memory that
+    TASK_EDGES bounds.  If all edges fit one share, that is the result.  If
+    not, large-star and small-star steps (Kiveris et al., 2014) alternate on
+    the forests until nothing changes: each points nodes to their smallest
+    neighbour, so a hub never needs its neighbours in one place, minima are
+    combined before they are shuffled, and rounds grow with the logarithm of
+    the longest path.
     """
-
-    def star(e: DataFrame, both: bool) -> DataFrame:
-        sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else e
-        low = sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        out = sym.join(low, "a")
-        if both:
-            return out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        return out.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    count = now.count()
+    if count <= TASK_EDGES:
+        out = scratch.write(now.coalesce(1).mapInArrow(_forest, "a long, b long"), name)
+        return out.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before, k, last = None, 0, None
+    now = now.repartition(-(-count // TASK_EDGES)).mapInArrow(_forest, "a long, b long").where("a <> b")
+    before, k = None, 0
     while True:
-        now = scratch.write(star(star(now, True), False), f"{name}{k}")
+        now = scratch.write(_star(_star(now, True), False), f"{name}{k}")
+        if k:
+            scratch.drop(f"{name}{k - 1}")
         seen = mark(now)
-        if last:
-            scratch.drop(last)
-        last = f"{name}{k}"
         if seen == before:
             break
         before, k = seen, k + 1
