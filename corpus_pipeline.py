@@ -1,12 +1,57 @@
-"""Cleaning pipeline over ``documents``; the stages follow as their operators are ready."""
+"""Cleaning pipeline over ``documents``: each stage is one of the text operators and reads what the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sumwell.llm.cotrain import drop_low_quality
+from sumwell.llm.entropy_mix import mixture
+from sumwell.llm.exact_dedup import drop_exact_duplicates
+from sumwell.llm.jaccard_join import jaccard_components
+from sumwell.llm.scratch import Scratch
+from sumwell.llm.winnow import drop_contaminated
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return drop_low_quality(docs, _table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, that with the smallest doc_id stays."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by five-word shingles at 0.8, directly or through others, that with the smallest doc_id stays."""
+    gone = jaccard_components(docs, words=5, num=4, den=5).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or so much of one that it is a twentieth of their words, go."""
+    return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document that meet the sources' weights."""
+    return mixture(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("benchmark", benchmark), ("mix", mix)]
+#: The classifier and the mixture's iterations have no SQL; tests hold the run against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
