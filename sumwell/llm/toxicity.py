@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwell.llm.scratch import Scratch
-from sumwell.llm.text import encoded, word_edges, word_slices
+from sumwell.llm.text import distinct_sorted, encoded, word_edges, word_slices
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -34,7 +34,7 @@ MAX_TOKENS = 50_000
 #: Significance of a token's log-odds.
 LEAST_Z = 4.0
 #: Tokens that the prior is worth, as a share of the labelled tokens.
-PRIOR = 0.02
+PRIOR = 0.1
 
 
 def sample_labels(labels: DataFrame, column: str, learn_from: Column, limit: int = MAX_LABELLED) -> pd.DataFrame:
@@ -45,7 +45,11 @@ def sample_labels(labels: DataFrame, column: str, learn_from: Column, limit: int
 
 
 def _token_counts(docs: DataFrame, sample: pd.DataFrame) -> DataFrame:
-    """token, toxic, other: counts over the sampled documents."""
+    """token, toxic, other: how many sampled documents of either kind hold the token.
+
+    Each document counts a token once, so that one that repeats itself has no
+    more say than others.
+    """
     ids = np.sort(sample["doc_id"].to_numpy(dtype=np.int64))
     toxic = sample.sort_values("doc_id")["label"].to_numpy(dtype=np.int64)
     given = docs.sparkSession.sparkContext.broadcast((ids, toxic))
@@ -62,9 +66,8 @@ def _token_counts(docs: DataFrame, sample: pd.DataFrame) -> DataFrame:
             texts, label = b.column(1).filter(pa.array(mine)).to_pylist(), toxic[at[mine]]
             parts: list[list[np.ndarray]] = [[], []]
             for lo, hi, words, off in word_slices(texts):
-                which = np.repeat(label[lo:hi], np.diff(off))
-                for k in (0, 1):
-                    parts[k].append(words[which == k])
+                for k in range(hi - lo):
+                    parts[label[lo + k]].append(distinct_sorted(words[off[k] : off[k + 1]]))
             if texts:
                 non, tox = (np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts)
                 tokens, where = np.unique(np.concatenate((non, tox)), return_inverse=True)
