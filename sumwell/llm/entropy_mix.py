@@ -24,6 +24,8 @@ from sumwell.llm.scratch import Scratch
 
 #: Rates are whole multiples of one over this.
 GRID = 10**9
+#: Offsets of the running sum that are tried.
+PHASES = 64
 #: Documents of a source that are rounded along one running sum, about.
 ROUND_TOGETHER = 20_000
 #: Sources are held on the driver, one row each.
@@ -68,7 +70,7 @@ class _Dual:
     has_lo: bool = False
     has_hi: bool = False
 
-    def step(self, value: float, slope: float, tokens: int) -> None:
+    def step(self, value: float, slope: float) -> None:
         gap = value - self.target
         if abs(gap) <= 1e-7 * max(1.0, self.target):
             self.done = True
@@ -137,7 +139,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
             F.sum(F.when(F.col("rate") < int(cap * GRID), words.cast("decimal(19,0)") * tilt)).alias("slope"),
         )
         for r in s.collect():
-            by_source[r["source"]].step(float(r["value"]) / GRID, float(r["slope"] or 0) / GRID, 0)
+            by_source[r["source"]].step(float(r["value"]) / GRID, float(r["slope"] or 0) / GRID)
 
     facts = [(d.source, d.at / d.mean, r["size"], d.target, -(-r["n"] // ROUND_TOGETHER)) for d, r in zip(duals, found, strict=True)]
     facts = F.broadcast(spark.createDataFrame(facts, "mix_key string, scale double, source_size long, target double, parts long"))
@@ -146,9 +148,19 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     # whole rates need no rounding; the others are rounded along a running sum, ordered by size so that errors cancel
     order = Window.partitionBy("source", "part").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.col("rate") % GRID).over(order) + GRID // 2
-    extra = F.floor(running / F.lit(GRID)) - F.floor((running - F.col("rate") % GRID) / F.lit(GRID))
-    rows = rows.withColumn("copies", (F.floor(F.col("rate") / F.lit(GRID)) + extra).cast("long"))
+    rows = rows.withColumn("running", F.sum(F.col("rate") % GRID).over(order)).select("doc_id", "source", "size", "source_size", "target", "rate", "running")
+    rows = scratch.write(rows, "rates")
+
+    def copies(phase: Column) -> Column:
+        end = F.col("running") + phase
+        return (F.floor(F.col("rate") / F.lit(GRID)) + F.floor(end / F.lit(GRID)) - F.floor((end - F.col("rate") % GRID) / F.lit(GRID))).cast("long")
+
+    # of some phases of the running sum, each source takes the one that meets its target best
+    tries = rows.groupBy("source").agg(*[F.sum(F.col("size") * copies(F.lit(GRID * k // PHASES))).alias(f"t{k}") for k in range(PHASES)]).collect()
+    goal = {d.source: d.target for d in duals}
+    phases = [(r["source"], GRID * min(range(PHASES), key=lambda k, r=r: (abs((r[f"t{k}"] or 0) - goal[r["source"]]), k)) // PHASES) for r in tries]
+    phases = F.broadcast(spark.createDataFrame(phases, "mix_key string, phase long"))
+    rows = rows.join(phases, F.col("source").eqNullSafe(F.col("mix_key"))).withColumn("copies", copies(F.col("phase")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
