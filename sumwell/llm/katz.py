@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.llm.scratch import Scratch
-from sumwell.llm.text import END_HASH, distinct_sorted, word_slices
+from sumwell.llm.scratch import Scratch, most_frequent
+from sumwell.llm.text import END_HASH, word_slices
 
 #: Tokens with a class of their own; contexts are as many.
 CLASSES = 1 << 13
 #: Tokens and pairs that are looked up locally, at most.
-LOCAL = 1 << 20
+LOCAL = 1 << 18
 #: Counts above this are not discounted.
 CUTOFF = 5
 _SHIFT = 20
@@ -78,9 +78,10 @@ def counts_of_counts(table: DataFrame, cutoff: int = CUTOFF) -> list[int]:
 class Lookup:
     """What every task holds: frequent tokens, their classes, contexts and frequent pairs.  Sizes are bounded."""
 
+    k: int  # classes of single tokens; k is the common class, k + 1 the context of a first token
     tokens: np.ndarray  # sorted hashes
     counts: np.ndarray
-    classes: np.ndarray  # class of each, CLASSES for the common class
+    classes: np.ndarray  # class of each
     all_tokens: bool  # no token was seen beyond these
     class_log: np.ndarray  # log10 P(class)
     rest: float  # log10 P(common class)
@@ -94,6 +95,7 @@ class Lookup:
     pairs: np.ndarray | None = None  # sorted
     pair_log: np.ndarray | None = None  # log10 P(class | context)
     all_pairs: bool = False
+    pair_discounts: list[float] | None = None
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the tokens, and whether they are there."""
@@ -110,11 +112,14 @@ class Lookup:
             d[c == k] = x
         return np.where(c > 0, d * c / max(1, self.n), self.unseen)
 
+    def class_of(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, self.classes[at] if len(self.classes) else self.k, self.k)
+
     def pair_keys(self, classes: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Key of each token's (context, class); the context of a first token is the start."""
         before = np.empty(len(classes), dtype=np.int64)
         before[1:] = classes[:-1]
-        before[off[:-1][off[:-1] < len(classes)]] = CLASSES + 1
+        before[off[:-1][off[:-1] < len(classes)]] = self.k + 1
         return (before << _SHIFT) | classes
 
 
@@ -131,7 +136,7 @@ def _training_counts(docs: DataFrame, kind: str, given=None) -> DataFrame:
                     parts.append(tokens.view(np.int64))
                 else:
                     at, there = look.find(tokens)
-                    parts.append(look.pair_keys(np.where(there, look.classes[at] if len(look.classes) else CLASSES, CLASSES), off))
+                    parts.append(look.pair_keys(look.class_of(at, there), off))
             if parts:
                 keys = np.sort(np.concatenate(parts))
                 edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -148,24 +153,24 @@ def _own_column(look: Lookup) -> Column:
     return d * F.col("c") / F.lit(float(max(1, look.n)))
 
 
-def fit(train: DataFrame, scratch: Scratch) -> tuple[Lookup, DataFrame, DataFrame]:
+def fit(train: DataFrame, scratch: Scratch, classes: int = CLASSES, local: int = LOCAL) -> tuple[Lookup, DataFrame, DataFrame]:
     """The bounded lookup, the table of tokens and the table of pairs, from the training texts (text)."""
     folder = "counts/order="
     tokens = scratch.write(_training_counts(train, "tokens"), f"{folder}1")
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"])
-    top = tokens.orderBy(F.desc("c"), "key").limit(LOCAL).toPandas()
-    rank = np.where(np.arange(len(top)) < CLASSES, np.arange(len(top)), CLASSES)
+    top = most_frequent(tokens, "c", local).toPandas().sort_values(["c", "key"], ascending=[False, True], ignore_index=True)
+    rank = np.minimum(np.arange(len(top)), classes)
     order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(np.uint64))
     of_counts = counts_of_counts(tokens)
     discounts = good_turing(of_counts, v)
     freed = sum((1 - d) * c * of_counts[c] for c, d in enumerate(discounts, 1))
     look = Lookup(
-        tokens=top["key"].to_numpy(dtype=np.int64).view(np.uint64)[order], counts=top["c"].to_numpy(dtype=np.int64)[order], classes=rank[order].astype(np.int64), all_tokens=len(top) == v,
+        k=classes, tokens=top["key"].to_numpy(dtype=np.int64).view(np.uint64)[order], counts=top["c"].to_numpy(dtype=np.int64)[order], classes=rank[order].astype(np.int64), all_tokens=len(top) == v,
         class_log=np.empty(0), rest=0.0, n=n, v=v, discounts=discounts, unseen=freed / n if n else 1.0,
     )
-    own = look.own(top["c"].to_numpy(dtype=np.int64)[:CLASSES])
-    own = np.concatenate((own, np.zeros(CLASSES - len(own))))
+    own = look.own(top["c"].to_numpy(dtype=np.int64)[:classes])
+    own = np.concatenate((own, np.zeros(classes - len(own))))
     rest = max(1e-12, 1.0 - own.sum())  # all other tokens and the unseen one
     look.rest = float(np.log10(rest))
     with np.errstate(divide="ignore"):
@@ -177,12 +182,12 @@ def fit(train: DataFrame, scratch: Scratch) -> tuple[Lookup, DataFrame, DataFram
     d = F.lit(1.0)
     for k, x in enumerate(d2, 1):
         d = F.when(F.col("c") == k, F.lit(float(x))).otherwise(d)
-    one = spark.createDataFrame([(k, float(10**x) if np.isfinite(x) else 0.0) for k, x in enumerate(look.class_log)], "class long, p double")  # CLASSES + 1 rows
+    one = spark.createDataFrame([(k, float(10**x) if np.isfinite(x) else 0.0) for k, x in enumerate(look.class_log)], "class long, p double")  # classes + 1 rows
     mask = (1 << _SHIFT) - 1
     split = pairs.select("key", "c", F.shiftright("key", _SHIFT).alias("context"), F.col("key").bitwiseAND(F.lit(mask)).alias("class"))
-    per = split.join(F.broadcast(one), "class").groupBy("context").agg(F.sum("c").alias("n"), F.sum(d * F.col("c")).alias("kept"), F.sum("p").alias("lower")).toPandas()  # CLASSES + 2 rows
+    per = split.join(F.broadcast(one), "class").groupBy("context").agg(F.sum("c").alias("n"), F.sum(d * F.col("c")).alias("kept"), F.sum("p").alias("lower")).toPandas()  # classes + 2 rows
     at = per["context"].to_numpy(dtype=np.int64)
-    total, kept, lower = (np.ones(CLASSES + 2), np.zeros(CLASSES + 2), np.zeros(CLASSES + 2))
+    total, kept, lower = np.ones(classes + 2), np.zeros(classes + 2), np.zeros(classes + 2)
     total[at], kept[at], lower[at] = per["n"], per["kept"], per["lower"]
     free, open_ = 1 - kept / total, 1 - lower
     full = open_ < 1e-12  # every class followed: nothing to back off to, the kept mass is all
@@ -191,8 +196,8 @@ def fit(train: DataFrame, scratch: Scratch) -> tuple[Lookup, DataFrame, DataFram
         look.scale_log = np.where(full & (kept > 0), -np.log10(np.where(kept > 0, kept / total, 1)), 0.0)
     look.context_count = total
     look.pair_discounts = d2
-    best = pairs.orderBy(F.desc("c"), "key").limit(LOCAL + 1).toPandas()
-    look.all_pairs, best = len(best) <= LOCAL, best[:LOCAL].sort_values("key")
+    best = most_frequent(pairs, "c", local).toPandas().sort_values("key")
+    look.all_pairs = len(best) == pairs.count()
     look.pairs = best["key"].to_numpy(dtype=np.int64)
     look.pair_log = pair_log10(look, look.pairs, best["c"].to_numpy(dtype=np.int64))
     return look, tokens, pairs
@@ -207,7 +212,7 @@ def pair_log10(look: Lookup, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.log10(d * c / look.context_count[context]) + look.scale_log[context]
 
 
-def score_texts(docs: DataFrame, learn_from: Column, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn_from: Column, classes: int = CLASSES, local: int = LOCAL, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows for which ``learn_from``, an expression over
@@ -221,7 +226,7 @@ def score_texts(docs: DataFrame, learn_from: Column, scratch: Scratch | None = N
     scratch = scratch or Scratch(spark, "katz")
     held = ~F.coalesce(learn_from, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    look, tokens, pairs = fit(docs.where(~F.col("held_out")), scratch)
+    look, tokens, pairs = fit(docs.where(~F.col("held_out")), scratch, classes, local)
     given = spark.sparkContext.broadcast(look)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
@@ -237,9 +242,9 @@ def score_texts(docs: DataFrame, learn_from: Column, scratch: Scratch | None = N
                 owner = np.repeat(np.arange(hi - lo), size)
                 at, there = look.find(t)
                 c = np.where(there, look.counts[at] if len(look.counts) else 0, 0)
-                classes = np.where(there, look.classes[at] if len(look.classes) else CLASSES, CLASSES)
+                classes = look.class_of(at, there)
                 here = there | look.all_tokens
-                common = classes == CLASSES
+                common = classes == look.k
                 value = np.where(here, np.log10((c + 1) / smooth), 0.0)
                 within = np.zeros(len(t))
                 m = common & here
@@ -283,7 +288,7 @@ def score_texts(docs: DataFrame, learn_from: Column, scratch: Scratch | None = N
     d = F.lit(1.0)
     for k, x in enumerate(look.pair_discounts, 1):
         d = F.when(F.col("c") == k, F.lit(float(x))).otherwise(d)
-    contexts = spark.createDataFrame([(k, float(x), float(s)) for k, (x, s) in enumerate(zip(look.context_count, look.scale_log, strict=True))], "context long, total double, scale double")  # CLASSES + 2 rows
+    contexts = spark.createDataFrame([(k, float(x), float(s)) for k, (x, s) in enumerate(zip(look.context_count, look.scale_log, strict=True))], "context long, total double, scale double")  # classes + 2 rows
     parts = parts.withColumn("context", F.when(F.col("kind") == 2, F.shiftright("key", _SHIFT))).join(F.broadcast(contexts), "context", "left")
     base = F.when(F.col("kind") == 1, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(smooth))).otherwise(F.coalesce("base", F.lit(0.0)))
     score = F.when(F.col("kind") == 1, F.log10(F.greatest(token_p, F.lit(1e-300))) - F.lit(look.rest))
