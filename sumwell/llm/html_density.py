@@ -19,13 +19,14 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -58,10 +59,10 @@ class Node:
         self.density = self.density_sum = 0.0
 
 
-def _is_cut(name: str, attrs: str, stack: list[Node]) -> bool:
+def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
     if name in _NEVER_CUT:
         return False
-    if name in _CUT_TAGS or name == "header" and not any(n.name in ("article", "main") for n in stack):
+    if name in _CUT_TAGS or name == "header" and not in_article:
         return True
     if not attrs or attrs.isspace():
         return False
@@ -80,6 +81,7 @@ def parse(page: str) -> Node:
     """The block tree of a page.  Inline tags leave no node; links are counted; unclosed tags end with their parent."""
     root = Node("html", None, False)
     stack, link, at, end = [root], 0, 0, len(page)
+    opened: Counter[str] = Counter()  # names on the stack, so that it is searched only for what is there
 
     def text(piece: str):
         if piece and not piece.isspace():
@@ -93,6 +95,7 @@ def parse(page: str) -> Node:
             stack[-1].children.append(" ")
 
     def close_to(k: int):
+        opened.subtract(n.name for n in stack[k:])
         del stack[k:]
 
     while at < end:
@@ -117,21 +120,21 @@ def parse(page: str) -> Node:
             stack[-1].children.append(" ")
         elif name in _BLOCKS:
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[name] > 0 else ():
                     if stack[k].name == name:
                         close_to(k)
                         break
                 continue
-            if name == "html" or name == "body" and any(n.name == "body" for n in stack):
+            if name == "html" or name == "body" and opened["body"] > 0:
                 continue
-            if name in _P_ENDS:
+            if name in _P_ENDS and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p":
                         close_to(k)
                         break
                     if stack[k].name in ("td", "th", "button", "object", "table"):
                         break
-            if name in _SIBLING_ENDS:
+            if name in _SIBLING_ENDS and any(opened[x] > 0 for x in _SIBLING_ENDS[name][0]):
                 ends, stops = _SIBLING_ENDS[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in ends:
@@ -141,13 +144,14 @@ def parse(page: str) -> Node:
                         break
             if name == "body":  # an unclosed head ends here
                 close_to(1)
-            node = Node(name, stack[-1], stack[-1].cut or _is_cut(name, m[3], stack))
+            node = Node(name, stack[-1], stack[-1].cut or _is_cut(name, m[3], opened["article"] + opened["main"] > 0))
             stack[-1].children.append(node)
             if name in _RAW:
                 raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = raw.end() if raw else end
             elif name != "hr" and not m[3].endswith("/"):
                 stack.append(node)
+                opened[name] += 1
     return root
 
 
@@ -193,24 +197,21 @@ def main_node(root: Node) -> tuple[Node, float]:
 def blocks(node: Node) -> Iterator[str]:
     """The texts of the blocks below a node, in page order; text around a child block is a block of its own."""
     held: list[str] = []
-
-    def done():
-        out = _SPACE.sub(" ", "".join(held)).strip("\x20\t\n\x0b\x0c\r")
-        held.clear()
-        return out
-
-    for c in node.children:
+    walk = [iter(node.children)]  # not recursive: pages nest as deep as they like
+    while walk:
+        c = next(walk[-1], None)
         if isinstance(c, str):
             held.append(c)
             continue
-        if c.cut and c.name in ("script", "style", "template"):
+        if c is not None and c.cut and c.name in ("script", "style", "template"):
             continue
-        if b := done():
-            yield b
-        if not c.cut:
-            yield from blocks(c)
-    if b := done():
-        yield b
+        if held and (text := _SPACE.sub(" ", "".join(held)).strip("\x20\t\n\x0b\x0c\r")):
+            yield text
+        held = []
+        if c is None:
+            walk.pop()
+        elif not c.cut:
+            walk.append(iter(c.children))
 
 
 def main_text(page: str | None) -> str:
