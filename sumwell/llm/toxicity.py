@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwell.llm.scratch import Scratch
-from sumwell.llm.text import distinct_sorted, encoded, word_edges, word_slices
+from sumwell.llm.text import END_HASH, encoded, mix, word_edges, word_slices
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -33,6 +33,8 @@ MAX_LABELLED = 20_000
 MAX_TOKENS = 50_000
 #: Significance of a token's log-odds.
 LEAST_Z = 4.0
+#: Log-odds that a weighted token has at least: weaker ones add up in long texts of any kind.
+LEAST_ODDS = 1.5
 #: Tokens that the prior is worth, as a share of the labelled tokens.
 PRIOR = 0.1
 
@@ -45,15 +47,16 @@ def sample_labels(labels: DataFrame, column: str, learn_from: Column, limit: int
 
 
 def _token_counts(docs: DataFrame, sample: pd.DataFrame) -> DataFrame:
-    """token, toxic, other: how many sampled documents of either kind hold the token.
+    """token, toxic, other: in how many contexts the sampled documents of either kind hold the token.
 
-    Each document counts a token once, so that one that repeats itself has no
-    more say than others.
+    A context is the token with its neighbours.  Copies of a document, exact
+    or near, and texts that repeat themselves hold the same contexts, and so
+    have no more say than one text.
     """
     ids = np.sort(sample["doc_id"].to_numpy(dtype=np.int64))
     toxic = sample.sort_values("doc_id")["label"].to_numpy(dtype=np.int64)
     given = docs.sparkSession.sparkContext.broadcast((ids, toxic))
-    schema = pa.schema([("token", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("context", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches):
         ids, toxic = given.value
@@ -64,18 +67,24 @@ def _token_counts(docs: DataFrame, sample: pd.DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
             mine = ids[at] == doc
             texts, label = b.column(1).filter(pa.array(mine)).to_pylist(), toxic[at[mine]]
-            parts: list[list[np.ndarray]] = [[], []]
+            parts: list[list[np.ndarray]] = [[], [], []]
             for lo, hi, words, off in word_slices(texts):
-                for k in range(hi - lo):
-                    parts[label[lo + k]].append(distinct_sorted(words[off[k] : off[k + 1]]))
-            if texts:
-                non, tox = (np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts)
-                tokens, where = np.unique(np.concatenate((non, tox)), return_inverse=True)
-                counts = [np.bincount(w, minlength=len(tokens)) for w in (where[len(non) :], where[: len(non)])]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in counts]], schema=schema)
-
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, toxic long, other long")
-    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+                if not len(words):
+                    continue
+                left, right = np.roll(words, 1), np.roll(words, -1)
+                filled = off[:-1][off[1:] > off[:-1]]
+                left[filled], right[off[1:][off[1:] > off[:-1]] - 1] = END_HASH, END_HASH
+                which = np.repeat(label[lo:hi], np.diff(off))
+                around = mix(mix(left ^ words) + right)
+                _, first = np.unique(around + which.astype(np.uint64), return_index=True)
+                for p, x in zip(parts, (words[first].view(np.int64), around[first].view(np.int64), which[first]), strict=True):
+                    p.append(x)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], schema=schema)
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, context long, toxic long")
+    once = found.distinct()
+    return once.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
 
 
 @dataclass
@@ -98,9 +107,7 @@ def token_weights(counts: DataFrame) -> Weights:
     y_t, y_o = F.col("toxic") + a, F.col("other") + a
     odds = F.log(y_t / (F.lit(n_t + prior) - y_t)) - F.log(y_o / (F.lit(n_o + prior) - y_o))
     z = odds / F.sqrt(1 / y_t + 1 / y_o)
-    picked = counts.select("token", "toxic", "other", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).toPandas()
-    # tokens that speak against toxicity stay in the class of the others: it has their mass already
-    picked = picked[picked["odds"] > 0].sort_values("token")
+    picked = counts.select("token", "toxic", "other", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).toPandas().sort_values("token")
     rest_t, rest_o = n_t - picked["toxic"].sum(), n_o - picked["other"].sum()
     rest = min(-1e-4, float(np.log((rest_t + prior * 0.5) / (n_t + prior)) - np.log((rest_o + prior * 0.5) / (n_o + prior))))
     tokens = picked["token"].to_numpy(dtype=np.int64).view(np.uint64)
