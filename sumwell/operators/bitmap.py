@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumwell.functions.columns import col, ordered_index
-from sumwell.functions.solve import gram_solve
+from sumwell.functions.solve import gram_solve, wls
 from sumwell.operators.base import Estimator, covariance
 from sumwell.operators.eventstudy import CellModel, effects
-from sumwell.functions.solve import wls
 from sumwell.sources.tables import TooManyRows, fetch, table
 
 CHUNK_BITS = 64
@@ -100,11 +99,15 @@ class BitPacker:
 
     def fit_transform(self, source, spark: SparkSession | None = None) -> BitmapPanel:
         df = table(source, spark)
+        wanted = [c for c in (self.unit, self.time, self.y, self.w) if c in df.columns]
+        df = df.select(*[col(c) for c in wanted]).persist()  # the checks and the tables below all read it
         n_units, n_times, values = self.check(df)
         units = ordered_index(df.select(col(self.unit).alias("unit")).distinct(), ["unit"], "unit_index").persist()
         first = df.where(col(self.w) == 1).groupBy(col(self.unit).alias("unit")).agg(F.min(col(self.time)).cast("int").alias("cohort"))
         units = units.join(first, "unit", "left").withColumn("cohort", F.coalesce("cohort", F.lit(-1))).persist()
         rows = df.select(col(self.unit).alias("unit"), col(self.time).cast("int").alias("time_index"), col(self.y).cast("double").alias("y"), col(self.w).cast("int").alias("w")).join(units, "unit").drop("unit").persist()
+        rows.count()
+        df.unpersist()
         cohorts = {r["cohort"]: r["count"] for r in units.groupBy("cohort").count().collect()}
         i, t = F.col("unit_index"), F.col("time_index")
 
