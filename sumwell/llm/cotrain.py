@@ -18,12 +18,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.llm.exact_dedup import free_name
-from sumwell.llm.scratch import Scratch
+from sumwell.llm.scratch import Scratch, hash_sample
 from sumwell.llm.text import distinct_sorted, mix, word_hashes
 
 MAX_LABELLED = 20_000
@@ -158,6 +158,12 @@ class Model:
     combine: np.ndarray  # weights of the two calibrated log-odds, and an offset
     rounds: list[dict]
 
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+        """Probability of good quality by the text, by the metadata, and by both."""
+        z = [v.odds(x) for v, x in zip(self.views, (text, meta), strict=True)]
+        both = self.combine[0] * z[0] + self.combine[1] * z[1] + self.combine[2]
+        return [1 / (1 + np.exp(-np.clip(o, -500, 500))) for o in (*z, both)]
+
 
 def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
     """Fit both views and their combination; ``labelled`` and ``pool`` hold the features of each view."""
@@ -218,32 +224,51 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     table = scratch.write(feature_table(docs), "features")
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    by_hash = [F.xxhash64("doc_id"), "doc_id", "row"]
-    seen = table.join(marked, "doc_id").orderBy(*by_hash).limit(max_labelled).toPandas()
-    pool = table.where(F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).toPandas()
-    stack = lambda frame, c, n: np.vstack(frame[c].to_list()).astype(float) if len(frame) else np.zeros((0, n))
-    sizes = (("text", TEXT_FEATURES), ("meta", META_FEATURES))
-    model = spark.sparkContext.broadcast(co_train([stack(seen, c, n) for c, n in sizes], seen["label"].to_numpy(dtype=int), [stack(pool, c, n) for c, n in sizes]))
+    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, max_pool))
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
         m = model.value
         for b in batches:
-            x = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(b), n).astype(float) for c, (_, n) in zip(b.columns[2:], sizes, strict=True)]
-            z = [v.odds(f) for v, f in zip(m.views, x, strict=True)]
-            both = m.combine[0] * z[0] + m.combine[1] * z[1] + m.combine[2]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), *[pa.array(1 / (1 + np.exp(-np.clip(o, -500, 500)))) for o in (*z, both)]], schema=schema)
+            x = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(b), n).astype(float) for c, (_, n) in zip(b.columns[2:], _SIZES, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), *[pa.array(p) for p in m.scores(*x)]], schema=schema)
 
     out = table.select("row", "doc_id", "text", "meta").mapInArrow(run, "doc_id long, row long, text_score double, meta_score double, score double")
     return out.withColumn("rejected", F.col("score") < threshold)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not rejected; cases as in :func:`quality_scores`."""
-    row = free_name(docs, "quality_row")
-    bad = quality_scores(docs, labels, threshold).where("rejected").select(F.col("row").alias(row)).distinct()
+_SIZES = (("text", TEXT_FEATURES), ("meta", META_FEATURES))
+
+
+def _fitted(table: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> Model:
+    """The model, fitted on samples of bounded size."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
+    seen = hash_sample(table.join(marked, "doc_id"), "doc_id", max_labelled).toPandas()
+    pool = hash_sample(table.where(F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_anti"), "doc_id", max_pool).toPandas()
+    seen, pool = (x.sort_values(["row", "doc_id"], ignore_index=True) for x in (seen, pool))  # row is a hash: folds are random
+    stack = lambda frame, c, n: np.vstack(frame[c].to_list()).astype(float) if len(frame) else np.zeros((0, n))
+    return co_train([stack(seen, c, n) for c, n in _SIZES], seen["label"].to_numpy(dtype=int), [stack(pool, c, n) for c, n in _SIZES])
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected; cases as in :func:`quality_scores`.
+
+    Rows are scored where they are: no text is shuffled.
+    """
+    spark = docs.sparkSession
+    table = Scratch(spark, "quality").write(feature_table(docs), "features")
+    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, max_pool))
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
+        none = lambda s: [None if v is None or v != v else v for v in s]
+        rows = list(zip(none(text), none(lang), none(source), none(n_chars), strict=True))
+        t, m = np.zeros((len(rows), TEXT_FEATURES), dtype=np.float32), np.zeros((len(rows), META_FEATURES), dtype=np.float32)
+        for k, (x, *meta) in enumerate(rows):
+            t[k], m[k] = text_features(x), meta_features(*meta)
+        return pd.Series(model.value.scores(t.astype(float), m.astype(float))[2] >= threshold)
+
     have = {c.lower() for c in docs.columns}
     col = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
-    key = F.xxhash64(col("doc_id", "long"), col("text", "string"), col("lang", "string"), col("source", "string"), col("n_chars", "double"))
-    return docs.withColumn(row, key).join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    n_chars = F.coalesce(col("n_chars", "double"), F.length(col("text", "string")).cast("double"))
+    return docs.where(good(col("text", "string"), col("lang", "string"), col("source", "string"), n_chars))
