@@ -161,7 +161,7 @@ def test_gear_chunks():
         assert k < 32 or slow == h[k]
     ends = boundaries(a)
     sizes = np.diff(np.concatenate(([0], ends)))
-    assert ends[-1] == len(a) and sizes.max() <= 128 and (sizes[:-1] >= 24).all()
+    assert ends[-1] == len(a) and sizes.max() <= 64 and (sizes[:-1] >= 12).all()
     text = bytes(a).decode()
     s1, e1, d1, _ = chunks(text)
     _, _, d2, _ = chunks(text[:7000] + "inserted" + text[7000:])
