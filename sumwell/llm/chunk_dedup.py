@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from sumwell.llm.scratch import Scratch
 from sumwell.llm.text import mix
 
-MIN_CHUNK, MAX_CHUNK = 24, 128
-#: Leading zero bits at a boundary: one position in 32.
-BITS = 5
+MIN_CHUNK, MAX_CHUNK = 12, 64
+#: Leading zero bits at a boundary: one position in 16.
+BITS = 4
 #: Bits of the filter are 2 to this.
-FILTER_BITS = 26
+FILTER_BITS = 25
 _SLICE = 1 << 20
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _WORD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -108,7 +108,7 @@ def _rows(held, schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d for _, _, d in held]).view(np.int64)), docs, pa.array(np.concatenate([s for _, s, _ in held]))], schema=schema)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 30, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 25, scratch: Scratch | None = None) -> DataFrame:
     """One row per span of ``docs`` (doc_id, text) that occurs before: doc_id, span_start, span_end, n_words, n_chunks, keep_doc_id.
 
     Offsets are in bytes of the UTF-8 text.  keep_doc_id is the smallest
@@ -128,9 +128,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 30, scratch: Scratch | None
     again = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     again = scratch.write(again.select("digest", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")), "again")
     mask = (1 << FILTER_BITS) - 1
-    words = again.select(F.col("digest").bitwiseAND(F.lit(mask)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()  # 2^20 rows at most
+    words = again.select(F.col("digest").bitwiseAND(F.lit(mask)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()  # 2^19 rows at most
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bits[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    del words
     given = spark.sparkContext.broadcast(bits.view(np.uint64))
     schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("at", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])
 

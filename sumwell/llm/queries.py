@@ -57,7 +57,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of at least 30 words in whole chunks that occur in an earlier document or before in the same."""
+    """Spans of at least 25 words in whole chunks that occur in an earlier document or before in the same."""
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
