@@ -34,6 +34,10 @@ from sumwell.llm.text import END_HASH, word_slices
 CLASSES = 1 << 13
 #: Tokens and pairs that are looked up locally, at most.
 LOCAL = 1 << 18
+#: Training tokens whose counts are combined in a task before they are shuffled.
+COMBINE = 2_000_000
+#: Lookups that a task holds before it sends them.
+SEND = 200_000
 #: Counts above this are not discounted.
 CUTOFF = 5
 _SHIFT = 20
@@ -129,18 +133,26 @@ def _training_counts(docs: DataFrame, kind: str, given=None) -> DataFrame:
 
     def run(batches):
         look = given.value if given is not None else None
+        parts, size = [], 0
+
+        def out():
+            keys = np.sort(np.concatenate(parts))
+            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            return pa.RecordBatch.from_arrays([pa.array(keys[edge[:-1]]), pa.array(np.diff(edge))], schema=schema)
+
         for b in batches:
-            texts, parts = b.column(0).to_pylist(), []
-            for _, _, tokens, off in _with_ends(texts):
+            for _, _, tokens, off in _with_ends(b.column(0).to_pylist()):
                 if kind == "tokens":
                     parts.append(tokens.view(np.int64))
                 else:
                     at, there = look.find(tokens)
                     parts.append(look.pair_keys(look.class_of(at, there), off))
-            if parts:
-                keys = np.sort(np.concatenate(parts))
-                edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[edge[:-1]]), pa.array(np.diff(edge))], schema=schema)
+                size += len(tokens)
+                if size >= COMBINE:
+                    yield out()
+                    parts, size = [], 0
+        if parts:
+            yield out()
 
     return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -233,9 +245,15 @@ def score_texts(docs: DataFrame, learn_from: Column, classes: int = CLASSES, loc
     def run(batches):
         look = given.value
         smooth = look.n + look.v + 1
+
+        def sent(row, far):
+            who, kind, key, back = (np.concatenate(x) for x in far)
+            none, r = pa.nulls(len(who), pa.int64()), np.array(row, dtype=np.int64)[who]
+            return pa.RecordBatch.from_arrays([pa.array(r), none, pa.nulls(len(who), pa.bool_()), pa.array(kind), pa.array(key), none, none, pa.nulls(len(who), pa.float64()), pa.array(back)], schema=schema)
+
         for b in batches:
             row, doc, out_ = (b.column(k).to_pylist() for k in (0, 1, 2))
-            n, known, base, score, sent = (np.zeros(len(b), dtype=t) for t in (np.int64, np.int64, float, float, np.int8))
+            n, known, base, score = (np.zeros(len(b), dtype=t) for t in (np.int64, np.int64, float, float))
             far: list[list[np.ndarray]] = [[], [], [], []]  # text, kind, key, backoff score
             for lo, hi, t, off in _with_ends(b.column(3).to_pylist()):
                 size = np.diff(off)
@@ -271,13 +289,14 @@ def score_texts(docs: DataFrame, learn_from: Column, classes: int = CLASSES, loc
                     far[1].append(np.full(k.sum(), 2, dtype=np.int32))
                     far[2].append(keys[k])
                     far[3].append(back[k])
+                if sum(map(len, far[0])) >= SEND:
+                    yield sent(row, far)
+                    far = [[], [], [], []]
             # the text itself travels under a key of its own, which no table has
             zero = np.zeros(len(b), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(out_), pa.array(zero), pa.array(row, pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=schema)
             if far[0]:
-                who, kind, key, back = (np.concatenate(x) for x in far)
-                none, r = pa.nulls(len(who), pa.int64()), np.array(row, dtype=np.int64)[who]
-                yield pa.RecordBatch.from_arrays([pa.array(r), none, pa.nulls(len(who), pa.bool_()), pa.array(kind), pa.array(key), none, none, pa.nulls(len(who), pa.float64()), pa.array(back)], schema=schema)
+                yield sent(row, far)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     parts = rows.mapInArrow(run, "row long, doc_id long, held_out boolean, kind int, key long, n_tokens long, n_known long, base double, score double")
