@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.llm.scratch import Scratch
+from sumwell.llm.scratch import Scratch, hash_sample
 from sumwell.llm.text import END_HASH, encoded, mix, word_edges, word_slices
 
 #: Labelled texts that the model is fitted on, at most.
@@ -43,7 +43,7 @@ def sample_labels(labels: DataFrame, column: str, learn_from: Column, limit: int
     """doc_id and label of at most ``limit`` labelled documents, chosen by a hash of doc_id."""
     rows = labels.where(learn_from & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
+    return hash_sample(rows, "doc_id", limit).toPandas()
 
 
 def _token_counts(docs: DataFrame, sample: pd.DataFrame) -> DataFrame:
