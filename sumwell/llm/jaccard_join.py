@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.llm.scratch import Scratch, components
+from sumwell.llm.scratch import Scratch, components, most_frequent
 from sumwell.llm.text import mix, shingle_sets
 
 #: Lists longer than this are not merged.
@@ -144,7 +144,7 @@ def _list_values(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[off[k] : off[k + 1]]
 
 
-def _short_list_pairs(rule: Rule):
+def _short_list_pairs(rule: Rule, most: int):
     """Sorted postings (token, node, n) -> candidate pairs of the short lists, star edges (least = 0) of longer ones."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("least", pa.int64())])
 
@@ -191,12 +191,12 @@ def _short_list_pairs(rule: Rule):
                 held = None
             edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             size = np.diff(edge)
-            keep = np.repeat(size <= SHORT_LIST, size)
-            for k in np.flatnonzero(size > SHORT_LIST):
+            keep = np.repeat(size <= most, size)
+            for k in np.flatnonzero(size > most):
                 lo, hi = edge[k], edge[k + 1]
                 yield emit(node[lo + 1 : hi], np.full(hi - lo - 1, node[lo]), np.zeros(hi - lo - 1, dtype=np.int64))
             lo = edge[-2]
-            if size[-1] > SHORT_LIST:
+            if size[-1] > most:
                 pivot = (token[lo], node[lo])
             else:
                 held = (token[lo:], node[lo:], n[lo:])
@@ -333,7 +333,7 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, short_list: int = SHORT_LIST, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; further columns are ignored): doc_id, n_shingles, component_id, n_links.
 
     component_id is the smallest doc_id reachable by links, n_links the number
@@ -350,12 +350,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = scratch.write(shingle_table(docs, words, rule), "table")
     nodes = scratch.write(table.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
-    # one row of each node: further copies with the same doc_id fall to dropDuplicates after the narrow join
-    heads = table.where("n > 0").join(nodes.select("node", F.col("doc_id").alias("first")), "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "n", "head")
+    # one row of each node, joined by both keys so that a node's copies spread; repeated rows fall to dropDuplicates
+    firsts = nodes.select(F.col("node").alias("of"), F.col("doc_id").alias("first"))
+    heads = table.where("n > 0").join(firsts, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "n", "head")
     heads = scratch.write(heads.dropDuplicates(["node"]), "heads")
 
-    often = heads.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") > SHORT_LIST)
-    often = often.orderBy(F.desc("count"), "t").limit(MAX_FREQUENT).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
+    often = heads.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") > short_list)
+    often = most_frequent(scratch.write(often, "often"), "count", MAX_FREQUENT).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
 
     def from_heads(batches):
@@ -371,7 +372,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = lists.select(F.explode("rare").alias("token"), "node", "n").repartition(parts, "token").sortWithinPartitions("token")
-    pairs = short.mapInArrow(_short_list_pairs(rule), "a long, b long, least long")
+    pairs = short.mapInArrow(_short_list_pairs(rule, short_list), "a long, b long, least long")
     merged = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("least").alias("least")).where("common >= least").select("a", "b")
     long = lists.where(F.size("often") > 0).select(F.explode("often").alias("token"), "node")
     hubs = long.groupBy("token").agg(F.min("node").alias("b"))  # at most MAX_FREQUENT rows
@@ -380,7 +381,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     clusters = components(edges, scratch, "cluster").select("node", F.col("component").alias("cluster"))
     clusters = scratch.write(clusters.join(nodes, "node"), "clusters")
 
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").select("node", "cluster", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     placed = placed.join(_fetch_sets(docs, clusters.select("doc_id", "node"), words), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
