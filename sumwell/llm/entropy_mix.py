@@ -27,7 +27,7 @@ GRID = 10**9
 #: Offsets of the running sum that are tried.
 PHASES = 64
 #: Documents of a source that are rounded along one running sum, about.
-ROUND_TOGETHER = 20_000
+ROUND_TOGETHER = 2_000
 #: Sources are held on the driver, one row each.
 MAX_SOURCES = 1_000_000
 
