@@ -7,11 +7,14 @@ with C_b and LC_b of the whole body, its composite density is
     C/T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LC_b/C_b * C + e)),
 
 zeros below a fraction line counting as 1.  The node whose children have the
-largest sum of densities is the main text; the least density on its path to
-the body is the threshold for what is accepted below it.  Menus, adverts,
+largest sum of densities is main text; the least density on its path to the
+body is the threshold for more.  Below each node that reaches it, or reaches
+what the threshold's node would have at that node's size, the node with the
+largest sum is accepted too.  The main text is the innermost node that holds
+all of them, without parts that are mostly links and hold none.  Menus, adverts,
 forms, comments and the like are cut from the tree by their tag, role, class
 or id before densities are compared; they do count for the body's figures.
-Character data of a node itself counts as a child.
+Character data of a node itself counts as a child, also for the threshold.
 """
 
 from __future__ import annotations
@@ -51,12 +54,12 @@ _SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"
 class Node:
     """A block element: its children are nodes and pieces of character data, in page order."""
 
-    __slots__ = ("children", "cut", "density", "density_sum", "links", "link_chars", "chars", "name", "parent", "tags")
+    __slots__ = ("children", "cut", "density", "density_sum", "links", "link_chars", "chars", "name", "own", "own_density", "parent", "tags")
 
     def __init__(self, name: str, parent: Node | None, cut: bool):
         self.name, self.parent, self.cut, self.children = name, parent, cut, []
-        self.chars = self.link_chars = self.tags = self.links = 0
-        self.density = self.density_sum = 0.0
+        self.chars = self.link_chars = self.own = self.tags = self.links = 0
+        self.density = self.density_sum = self.own_density = 0.0
 
 
 def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
@@ -155,8 +158,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _score(root: Node) -> list[Node]:
-    """Fill in counts and densities; the nodes that are not cut, parents first."""
+def _score(root: Node) -> tuple[list[Node], float]:
+    """Fill in counts and densities; the nodes that are not cut, parents first, and the body's share of link characters."""
     order = [root]
     for n in order:
         order += [c for c in n.children if isinstance(c, Node)]
@@ -165,7 +168,7 @@ def _score(root: Node) -> list[Node]:
     ratio = body_links / max(1, body_chars)
     kept = [n for n in order if not n.cut]
     for n in reversed(kept):
-        own = n.chars
+        own = n.own = n.chars
         for c in n.children:
             if isinstance(c, Node) and not c.cut:
                 n.chars += c.chars
@@ -179,27 +182,64 @@ def _score(root: Node) -> list[Node]:
             n.density = n.chars / tags * max(0.0, math.log(n.chars / lc * tags / lt)) / max(0.05, math.log(base))
         if own:
             base = math.log(ratio * own + math.e)
-            n.density_sum += own * math.log(max(1, own)) / max(0.05, math.log(base))
-    return kept
+            n.own_density = own * math.log(max(1, own)) / max(0.05, math.log(base))
+            n.density_sum += n.own_density
+    return kept, ratio
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node with the largest density sum (the outermost of equals) and the least density on its path to the body."""
-    kept = _score(root)
-    best = max(kept, key=lambda n: n.density_sum)
-    threshold, n = best.density, best
+def _best(kept: list[Node]) -> dict[Node, Node]:
+    """For each node, that with the largest density sum in its subtree (the outermost, first of equals)."""
+    best: dict[Node, Node] = {}
+    for n in reversed(kept):
+        top = n
+        for c in n.children:
+            if isinstance(c, Node) and not c.cut and best[c].density_sum > top.density_sum:
+                top = best[c]
+        best[n] = top
+    return best
+
+
+def _bar(m: Node, chars: int, ratio: float) -> float:
+    """The density of a node of this size with the characters per tag and the share of links of m."""
+    tags = max(1, m.tags)
+    k = chars / max(1, m.chars)
+    lc, t, lt = max(1.0, k * m.link_chars), max(1.0, k * tags), max(1.0, k * m.links)
+    base = math.log(m.chars / max(1, m.chars - m.link_chars) * k * m.link_chars + ratio * chars + math.e)
+    return m.chars / tags * max(0.0, math.log(max(1, chars) / lc * t / lt)) / max(0.05, math.log(base))
+
+
+def main_nodes(root: Node) -> tuple[Node, set[Node], set[Node]]:
+    """The node that holds the main text, the accepted nodes in it, and the nodes that hold an accepted one or are it."""
+    kept, ratio = _score(root)
+    best = _best(kept)
+    low = n = best[root]
     while n.parent is not None and n.name != "body":
         n = n.parent
-        threshold = min(threshold, n.density)
-    return best, threshold
+        if n.density < low.density:
+            low = n
+    accepted, around = {best[root]}, Counter((best[root],))
+    for n in kept:
+        if n.density and n.density >= min(low.density, _bar(low, n.chars, ratio)):
+            accepted.add(best[n])
+            around[best[n]] = 1
+        if n.own_density and n.own_density >= min(low.density, _bar(low, n.own, ratio)):
+            around[n] = 1
+    total = sum(around.values())
+    for n in reversed(kept):
+        if around[n] == total:
+            return n, accepted, {x for x in around if around[x]}
+        if around[n]:
+            around[n.parent] += around[n]
+    return root, accepted, {x for x in around if around[x]}
 
 
-def blocks(node: Node) -> Iterator[str]:
+def blocks(node: Node, accepted: set[Node], around: set[Node]) -> Iterator[str]:
     """The texts of the blocks below a node, in page order; text around a child block is a block of its own."""
     held: list[str] = []
-    walk = [iter(node.children)]  # not recursive: pages nest as deep as they like
+    walk = [(iter(node.children), node in accepted)]  # not recursive: pages nest as deep as they like
     while walk:
-        c = next(walk[-1], None)
+        children, inside = walk[-1]
+        c = next(children, None)
         if isinstance(c, str):
             held.append(c)
             continue
@@ -210,19 +250,15 @@ def blocks(node: Node) -> Iterator[str]:
         held = []
         if c is None:
             walk.pop()
-        elif not c.cut:
-            walk.append(iter(c.children))
+        elif not c.cut and (inside or c in around or 2 * c.link_chars <= c.chars):
+            walk.append((iter(c.children), inside or c in accepted))
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by newlines; empty if there is none."""
     if not page:
         return ""
-    root = parse(page)
-    node, threshold = main_node(root)
-    if node.density < threshold or not node.chars:
-        return ""
-    return "\n".join(blocks(node))
+    return "\n".join(blocks(*main_nodes(parse(page))))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -88,3 +88,39 @@ def test_extraction_query(spark):
     rows = [(1, "u", ARTICLE), (2, None, None), (1, "u", ARTICLE), (None, "v", "<p>x</p>"), (4, "w", "<p>" + "word " * 100_000 + "</p>")]
     got = sorted(((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in extract_main_text(pages(spark, rows)).collect()), key=str)
     assert got == sorted([("1", "u", TEXT, len(TEXT)), ("2", None, "", 0), ("1", "u", TEXT, len(TEXT)), ("None", "v", "x", 1), ("4", "w", ("word " * 100_000).strip(), 499_999)], key=str)
+
+
+LINKS = "<nav><ul>" + "".join(f"<li><a href=/{k}>menu item {k}</a></li>" for k in range(30)) + "</ul></nav>"
+PARTS = [[f"part {a} paragraph {b} " + "some words of the article " * n for b in range(5)] for a, n in enumerate((12, 11, 10))]
+
+
+def _paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><section>{0}</section><section>{1}</section><section>{2}</section></article>",
+        "<div class=part>{0}</div><div class=advert><p>Buy now, a long advert text.</p></div><div class=part>{1}</div><div><div>{2}</div></div>",
+        "<div>{0}<table><tr><td>{1}</td></tr></table></div><ul><li><a href=/x>a list of</a></li><li><a href=/y>links</a></li></ul><blockquote>{2}</blockquote>",
+    ],
+)
+def test_article_in_several_containers(page):
+    page = "<body>" + LINKS + page.format(*map(_paragraphs, PARTS)) + "<footer>&copy; us</footer></body>"
+    assert main_text(page) == "\n".join(t.strip() for part in PARTS for t in part)
+
+
+def test_short_lead_and_loose_text_beside_a_long_list():
+    lead, loose = "A lead that is much shorter than the list. " * 5, "Text of the body itself, of some length. " * 8
+    items = ["an item of the list that goes on for a while " * 6 for _ in range(20)]
+    page = "<body>" + LINKS + f"<p>{lead}</p><ol>" + "".join(f"<li>{t}" for t in items) + f"</ol>{loose}<div><a href=/z>see this as well</a></div></body>"
+    assert main_text(page) == "\n".join(t.strip() for t in [lead, *items, loose])
+
+
+@pytest.mark.parametrize("links", ["", LINKS])
+@pytest.mark.parametrize("n", [2, 3, 10, 40])
+def test_all_of_many_sections(n, links):
+    texts = [[f"section {a} line {b} " + "words of it " * (3 if a % 4 == 2 else 25) for b in range(5)] for a in range(n)]
+    page = "<body>" + links + "<main>" + "".join(f"<section>{_paragraphs(t)}</section>" for t in texts) + "</main><div><a href=/q>see this as well</a></div></body>"
+    assert main_text(page) == "\n".join(t.strip() for part in texts for t in part)
