@@ -9,8 +9,12 @@ has labelled too.  At the end each view is calibrated on labelled documents
 that its fit left out, the two calibrated views are combined by a third
 logistic model, and every document is scored.
 
-Fitting uses at most MAX_LABELLED labelled and MAX_POOL unlabelled documents,
-pseudo-random choices by doc_id; features are taken from all whole texts.
+All unlabelled documents take part: each round scores them where they are,
+histograms of log-odds give the cuts that meet the proportions, and Newton
+steps are sums over them.  A document's pseudo-labels follow from the models
+and cuts of the rounds so far, so that none are stored.  At most MAX_LABELLED
+labelled documents are used, a pseudo-random choice by doc_id; features are
+taken from all whole texts.
 """
 
 from __future__ import annotations
@@ -27,12 +31,17 @@ from sumwell.llm.scratch import Scratch, hash_sample
 from sumwell.llm.text import distinct_sorted, mix, word_hashes
 
 MAX_LABELLED = 20_000
-MAX_POOL = 20_000
 ROUNDS = 5
 #: Share of the pool that a model labels per round.
 PER_ROUND = 0.05
 #: Confidence that a pseudo-label needs.
 SURE = 0.9
+#: Weight of a pseudo-label; a document of the bin that a cut goes through has its share of it.
+WEIGHT = 0.3
+#: Bins of the histograms to a unit of log-odds, and their number to either side of 0.
+FINE, BINS = 64, 64 * 30 + 1
+#: Partial sums that come to the driver in a pass, at most.
+PARTIALS = 256
 SOURCE_BUCKETS = 32
 #: Languages with a feature of their own (fixed values); others share one.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -145,11 +154,114 @@ class View:
         return self.slope * np.clip(self.design(x) @ self.beta, -30, 30) + self.offset
 
 
-def _fit_view(x, y, w) -> View:
-    scale = x.std(axis=0)
-    v = View(x.mean(axis=0), np.where(scale > 1e-6, scale, 1.0), np.zeros(x.shape[1] + 1))
-    v.beta = fit_logistic(v.design(x), y, w)
-    return v
+@dataclass
+class Round:
+    """The views of a round; for each, the least bin that it labels good, the share of weight in it, and the same for bad."""
+
+    views: list[View]
+    cuts: list[tuple[int, float, int, float]]
+
+
+def _bins(odds: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.maximum(odds, 0) * FINE).astype(np.int64), BINS - 1)
+
+
+def pseudo_labels(done: list[Round], x: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """What the rounds have taught each view on these documents (labels, weights), and which documents none has labelled."""
+    n = len(x[0])
+    y, w, free = [np.zeros(n), np.zeros(n)], [np.zeros(n), np.zeros(n)], np.ones(n, dtype=bool)
+    for r in done:
+        picked = np.zeros(n, dtype=bool)
+        for k, (good, good_share, bad, bad_share) in enumerate(r.cuts):  # the labels of one view teach the other
+            odds = r.views[k].odds(x[k])
+            for label, least, share, b in ((1.0, good, good_share, _bins(odds)), (0.0, bad, bad_share, _bins(-odds))):
+                take = free & (b >= least)
+                y[1 - k][take] = label
+                w[1 - k][take] = np.where(b[take] == least, share, 1.0) * WEIGHT
+                picked |= take
+        free &= ~picked
+    return y, w, free
+
+
+def pool_size(x: list[np.ndarray], state) -> np.ndarray:
+    return np.array([float(len(x[0]))])
+
+
+def pool_moments(x: list[np.ndarray], state) -> np.ndarray:
+    """Number, sums and sums of squares of the pseudo-labelled documents, for both views."""
+    w = pseudo_labels(state, x)[1]
+    return np.concatenate([_moments(v[m > 0]) for v, m in zip(x, w, strict=True)])
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))
+
+
+def pool_histograms(x: list[np.ndarray], state) -> np.ndarray:
+    """Of the documents without a label: counts by bin, for each view good and bad."""
+    done, views = state
+    free = pseudo_labels(done, x)[2]
+    odds = [v.odds(f[free]) for v, f in zip(views, x, strict=True)]
+    return np.concatenate([np.bincount(_bins(z), minlength=BINS).astype(float) for o in odds for z in (o, -o)])
+
+
+def _newton_sums(v: View, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = v.design(x)
+    p = 1 / (1 + np.exp(-np.clip(d @ v.beta, -30, 30)))
+    return (d * (w * p * (1 - p))[:, None]).T @ d, d.T @ (w * (y - p))
+
+
+def pool_newton(x: list[np.ndarray], state) -> np.ndarray:
+    """Second and first derivatives over the pseudo-labelled documents, for both views."""
+    done, views = state
+    y, w, _ = pseudo_labels(done, x)
+    out = []
+    for k, v in enumerate(views):
+        m = w[k] > 0
+        h, g = _newton_sums(v, x[k][m], y[k][m], w[k][m])
+        out += [h.ravel(), g]
+    return np.concatenate(out)
+
+
+def _fit_views(views: list[View], labelled: list[np.ndarray], y: np.ndarray, done: list[Round], pool, ridge: float = 1.0, steps: int = 30) -> list[View]:
+    """Newton steps for both views at once, from where they stand, over labelled and pseudo-labelled documents."""
+    sums = pool(pool_moments, done) if done else None
+    at, new = 0, []
+    for v, x in zip(views, labelled, strict=True):
+        k = x.shape[1]
+        own = _moments(x) if sums is None else _moments(x) + sums[at : at + 2 * k + 1]
+        at += 2 * k + 1
+        mean = own[1 : k + 1] / own[0]
+        scale = np.sqrt(np.maximum(0.0, own[k + 1 :] / own[0] - mean * mean))
+        scale = np.where(scale > 1e-6, scale, 1.0)
+        slopes = v.beta[:-1] / v.scale
+        new.append(View(mean, scale, np.append(slopes * scale, v.beta[-1] + slopes @ (mean - v.mean))))
+    views = new
+    for _ in range(steps):
+        far = pool(pool_newton, (done, views)) if done else None
+        at, most = 0, 0.0
+        for v, x in zip(views, labelled, strict=True):
+            h, g = _newton_sums(v, x, y, np.ones(len(y)))
+            n = len(g)
+            if far is not None:
+                h, g = h + far[at : at + n * n].reshape(n, n), g + far[at + n * n : at + n * n + n]
+            at += n * n + n
+            move = np.linalg.solve(h + ridge * np.eye(n), g - ridge * v.beta)
+            v.beta = v.beta + np.clip(move, -5, 5)
+            most = max(most, np.abs(move).max())
+        if most < 1e-5:
+            break
+    return views
+
+
+def _cut(counts: np.ndarray, budget: int) -> tuple[int, float, float]:
+    """The least bin to take, the share of weight for the documents in it, and the number taken by weight."""
+    sure = -int(-np.log(SURE / (1 - SURE)) * FINE // 1)
+    above = np.cumsum(counts[::-1])[::-1]  # in this bin or a higher one
+    if above[sure] <= budget:
+        return sure, 1.0, float(above[sure])
+    k = int(np.flatnonzero(above >= budget)[-1])
+    return k, float((budget - (above[k] - counts[k])) / counts[k]), float(budget)
 
 
 @dataclass
@@ -165,44 +277,40 @@ class Model:
         return [1 / (1 + np.exp(-np.clip(o, -500, 500))) for o in (*z, both)]
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Fit both views and their combination; ``labelled`` and ``pool`` hold the features of each view."""
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Fit both views and their combination.
+
+    ``labelled`` holds the features of each view; ``pool`` does for the
+    unlabelled documents, or is a function that sums a ``pool_`` function over
+    them, given it and its state.
+    """
     if len(np.unique(y)) < 2:  # nothing to tell apart: everybody gets the one class (or the good one)
         p = float(np.clip(y.mean() if len(y) else 1.0, 1e-3, 1 - 1e-3))
         views = [View(np.zeros(n), np.ones(n), np.zeros(n + 1)) for n in (TEXT_FEATURES, META_FEATURES)]
         return Model(views, np.array([0.0, 0.0, np.log(p / (1 - p))]), [])
+    over = pool if callable(pool) else lambda f, state: f(pool, state)
     fold = np.arange(len(y)) % 3 == 0  # left out of the fits, for calibration
     if len(np.unique(y[~fold])) < 2 or len(np.unique(y[fold])) < 2:
         fold = np.ones(len(y), dtype=bool)
     train = ~fold if not fold.all() else fold
-    mine = [[x[train], y[train].astype(float), np.ones(train.sum())] for x in labelled]
-    free, log = np.ones(len(pool[0]), dtype=bool), []
-    share = float(y.mean())
-    for _ in range(rounds):
-        views = [_fit_view(*m) for m in mine]
-        picked = []
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-views[k].odds(pool[k]))) if len(free) else np.empty(0)
-            budget = max(1, int(PER_ROUND * len(free)))
-            good = np.flatnonzero(free & (p >= SURE))
-            bad = np.flatnonzero(free & (p <= 1 - SURE))
-            good = good[np.argsort(-p[good], kind="stable")][: max(1, round(budget * share))]
-            bad = bad[np.argsort(p[bad], kind="stable")][: max(1, round(budget * (1 - share)))]
-            picked.append((good, bad))
-        for k, (good, bad) in enumerate(picked):  # the labels of one view teach the other
-            take = np.concatenate((good, bad))
-            label = np.concatenate((np.ones(len(good)), np.zeros(len(bad))))
-            other = 1 - k
-            m = mine[other]
-            m[0] = np.vstack((m[0], pool[other][take]))
-            m[1], m[2] = np.concatenate((m[1], label)), np.concatenate((m[2], np.full(len(take), 0.3)))
-        for good, bad in picked:
-            free[good] = False
-            free[bad] = False
-        log.append({"text": tuple(map(len, picked[0])), "meta": tuple(map(len, picked[1]))})
-        if not any(len(g) + len(b) for g, b in picked):
+    mine, label = [x[train] for x in labelled], y[train].astype(float)
+    size = int(over(pool_size, None)[0])
+    views = [View(np.zeros(k), np.ones(k), np.zeros(k + 1)) for k in (x.shape[1] for x in labelled)]
+    done, log = [], []
+    share, budget = float(y.mean()), max(1, int(PER_ROUND * size))
+    for _ in range(rounds if size else 0):
+        views = _fit_views(views, mine, label, done, over)
+        counts = over(pool_histograms, (done, views)).reshape(2, 2, BINS)
+        cuts, taken = [], []
+        for good, bad in counts:
+            g, b = _cut(good, max(1, round(budget * share))), _cut(bad, max(1, round(budget * (1 - share))))
+            cuts.append((*g[:2], *b[:2]))
+            taken.append((g[2], b[2]))
+        log.append({"pool": size, "text": taken[0], "meta": taken[1]})
+        if not any(map(sum, taken)):
             break
-    views = [_fit_view(*m) for m in mine]
+        done.append(Round(views, cuts))
+    views = _fit_views(views, mine, label, done, over)
     held, yh = [x[fold] for x in labelled], y[fold].astype(float)
     for v, x in zip(views, held, strict=True):
         z = v.odds(x)
@@ -211,7 +319,7 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
     return Model(views, fit_logistic(z, yh, np.ones(len(z)), 0.1), log)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, scratch: Scratch | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_score, meta_score, score, rejected (and row, a hash of the row's content).
 
     ``docs`` has doc_id and text, and lang, source and n_chars if known.
@@ -224,13 +332,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     table = scratch.write(feature_table(docs), "features")
-    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, max_pool))
+    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, scratch))
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
         m = model.value
         for b in batches:
-            x = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(b), n).astype(float) for c, (_, n) in zip(b.columns[2:], _SIZES, strict=True)]
+            x = _arrays(b.columns[2:])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), *[pa.array(p) for p in m.scores(*x)]], schema=schema)
 
     out = table.select("row", "doc_id", "text", "meta").mapInArrow(run, "doc_id long, row long, text_score double, meta_score double, score double")
@@ -240,24 +348,53 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
 _SIZES = (("text", TEXT_FEATURES), ("meta", META_FEATURES))
 
 
-def _fitted(table: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> Model:
-    """The model, fitted on samples of bounded size."""
+def _arrays(columns) -> list[np.ndarray]:
+    return [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), n).astype(float) for c, (_, n) in zip(columns, _SIZES, strict=True)]
+
+
+def _over(pool: DataFrame):
+    """Sums of a function over the documents of the pool (text, meta), taken where they are."""
+    spark = pool.sparkSession
+    schema = pa.schema([("sums", pa.list_(pa.float64()))])
+
+    def total(f, state) -> np.ndarray:
+        given = spark.sparkContext.broadcast(state)
+
+        def run(batches):
+            out = f([np.zeros((0, n)) for _, n in _SIZES], given.value)
+            for b in batches:
+                out = out + f(_arrays(b.columns), given.value)
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], schema=schema)
+
+        parts = pool.coalesce(PARTIALS).mapInArrow(run, "sums array<double>").toArrow().column(0).to_pylist()  # PARTIALS rows
+        given.unpersist()
+        return np.sum(parts, axis=0) if parts else f([np.zeros((0, n)) for _, n in _SIZES], state)
+
+    return total
+
+
+def _fitted(table: DataFrame, labels: DataFrame, max_labelled: int, scratch: Scratch) -> Model:
+    """The model, fitted on a sample of bounded size of the labelled documents and on all others."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     seen = hash_sample(table.join(marked, "doc_id"), "doc_id", max_labelled).toPandas()
-    pool = hash_sample(table.where(F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_anti"), "doc_id", max_pool).toPandas()
-    seen, pool = (x.sort_values(["row", "doc_id"], ignore_index=True) for x in (seen, pool))  # row is a hash: folds are random
+    seen = seen.sort_values(["row", "doc_id"], ignore_index=True)  # row is a hash: folds are random
     stack = lambda frame, c, n: np.vstack(frame[c].to_list()).astype(float) if len(frame) else np.zeros((0, n))
-    return co_train([stack(seen, c, n) for c, n in _SIZES], seen["label"].to_numpy(dtype=int), [stack(pool, c, n) for c, n in _SIZES])
+    y = seen["label"].to_numpy(dtype=int)
+    pool = None
+    if len(np.unique(y)) > 1:
+        pool = _over(scratch.write(table.join(marked, "doc_id", "left_anti").select("text", "meta"), "pool"))
+    return co_train([stack(seen, c, n) for c, n in _SIZES], y, pool)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs``, all columns, that are not rejected; cases as in :func:`quality_scores`.
 
     Rows are scored where they are: no text is shuffled.
     """
     spark = docs.sparkSession
-    table = Scratch(spark, "quality").write(feature_table(docs), "features")
-    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, max_pool))
+    scratch = Scratch(spark, "quality")
+    table = scratch.write(feature_table(docs), "features")
+    model = spark.sparkContext.broadcast(_fitted(table, labels, max_labelled, scratch))
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sumwell.llm import katz
+from sumwell.llm import cotrain, katz
 from sumwell.llm.cotrain import co_train, drop_low_quality, quality_scores
 from sumwell.llm.entropy_mix import capped_targets, mixed_documents, mixture
 from sumwell.llm.katz import good_turing, score_texts
@@ -190,6 +190,34 @@ def test_views_teach_each_other():
     assert ((z @ m.combine > 0) == y[1500:]).mean() > 0.9
 
 
+def test_all_unlabelled_documents_teach(spark):
+    r = np.random.default_rng(3)
+    n = 21_000
+    good = r.random(n) < 0.6
+    text, meta = np.zeros((n, cotrain.TEXT_FEATURES), np.float32), np.zeros((n, cotrain.META_FEATURES), np.float32)
+    text[:, 0], meta[:, 5] = good + r.normal(0, 0.3, n), good + r.normal(0, 0.4, n)
+    text[:, 1:4], meta[:, 6:9] = r.normal(size=(n, 3)), r.normal(size=(n, 3))
+    ids = np.arange(n, dtype=object)
+    ids[-5:] = None
+    table = spark.createDataFrame([(k, i, t, m) for k, (i, t, m) in enumerate(zip(ids.tolist(), text.tolist(), meta.tolist(), strict=True))], "row long, doc_id long, text array<float>, meta array<float>").repartition(5)
+    lab = spark.createDataFrame([(k, int(good[k])) for k in range(90)], "doc_id long, quality int")
+    got = cotrain._fitted(table, lab, 20_000, cotrain.Scratch(spark, "t"))
+    assert {x["pool"] for x in got.rounds} == {n - 90}
+    taken = [sum(x["text"]) for x in got.rounds]
+    assert taken[0] == pytest.approx(0.05 * (n - 90), rel=0.01) and len(taken) == 5
+    want = cotrain.co_train([text[:90].astype(float), meta[:90].astype(float)], good[:90].astype(int), [text[90:].astype(float), meta[90:].astype(float)])
+    for a, b in zip(got.views, want.views, strict=True):
+        assert a.beta == pytest.approx(b.beta, abs=1e-4)
+    assert ((got.scores(text, meta)[2] > 0.5) == good).mean() > 0.95
+
+
+def test_pseudo_labels_meet_their_number_at_ties():
+    counts = np.zeros(cotrain.BINS)
+    counts[[10, 300, 500]] = 900, 80, 30
+    assert cotrain._cut(counts, 50) == (300, 0.25, 50.0) and cotrain._cut(counts, 30) == (500, 1.0, 30.0)
+    assert cotrain._cut(counts, 10) == (500, 10 / 30, 10.0) and cotrain._cut(counts, 2000)[2] == 110.0
+
+
 def test_targets():
     assert capped_targets([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
     assert capped_targets([10, 500, 0], [3, 1, 2], 3) == [30, 480, 0]
