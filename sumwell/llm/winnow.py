@@ -1,15 +1,18 @@
 """Benchmark decontamination by winnowing; DataFrame functions only.
 
 A window is ``span`` consecutive words of a benchmark item; an item of fewer
-words is one window of its own length.  For each window of ``span`` words,
-on both sides, the least hash of its runs of k words is kept as fingerprint,
-with k + w - 1 = span for w runs.  Equal windows have equal fingerprints, so
-the join on fingerprints reaches every shared span of at least ``span``
-words.  Hits are then extended: the whole window is compared word by word,
-and the hit windows of a document are united to spans.
-
-Documents are read once.  Windows are made inside generated code and meet the
-fingerprints of the benchmark there, so that only hits are ever shuffled.
+words is one window of its own length.  Both sides are winnowed (Schleimer et
+al., 2003): of the RUNS runs of k words in each window, k + RUNS - 1 = span,
+the least hash is kept, the rightmost of equal ones, and only where it differs
+from that of the window before.  Equal windows keep the same run, so the join
+on kept hashes reaches every shared span of at least ``span`` words.  Hits are
+then extended word by word to both sides; those that reach ``span`` words are
+spans, and the spans of a document are united.
+
+Documents are read once.  Fingerprints are made inside generated code and meet
+those of the benchmark there, so that only hits are ever shuffled.  A
+benchmark that is too large to be broadcast is joined by its fingerprints,
+and the words around the hits are fetched afterwards.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from sumwell.llm.scratch import Scratch
 
-#: Runs of words hashed per window; the fingerprint is the least of their hashes.
+#: Runs of words hashed per window, one of which is kept.
 RUNS = 4
-#: Up to so many windows of the benchmark are broadcast (about 100 bytes each); beyond, joins are shuffled.
-MAX_BROADCAST = 1_000_000
+#: A benchmark whose fingerprints and the words around them take up to so many bytes is broadcast.
+MAX_BROADCAST = 64 << 20
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,27 +40,127 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _NOT_WORD), "")
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _split_words(rows: DataFrame, *keys) -> DataFrame:
+    """The keys, words, n_words and the hashes of the words."""
+    rows = rows.select(*keys, words_of(F.col("text")).alias("words"))
+    return rows.select("*", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def _fingerprint(hashes: Column, i: Column, m: int) -> Column:
-    """Least hash of the runs in the window of m words from i on (from 0)."""
-    w = min(RUNS, m)
-    runs = [F.xxhash64(F.slice(hashes, i + F.lit(1 + j), F.lit(m - w + 1))) for j in range(w)]
-    return F.least(*runs) if w > 1 else runs[0]
+def _runs_from(m: int, span: int) -> tuple[int, int]:
+    """Runs hashed in a window of m words, and their length."""
+    runs = min(RUNS, m) if m == span else 1
+    return runs, m - runs + 1
 
 
-def _window(words: Column, i: Column, m: Column) -> Column:
-    return F.array_join(F.slice(words, i + 1, m), " ")
+def fingerprints(rows: DataFrame, span: int, lengths: list[int]) -> DataFrame:
+    """The rows (words, n_words, hashes and more) by (m, at, print): the kept run of windows of m words starts at word ``at`` (from 0).
 
-
-def benchmark_windows(items: DataFrame, span: int) -> DataFrame:
-    """item_id, m, window, and hash list of the window, for each window of each item."""
-    w = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    w = w.withColumn("m", F.least(F.size("words"), F.lit(span)))
-    w = w.select("item_id", "m", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("m"))).alias("i"))
-    return w.select("item_id", "m", F.slice("words", F.col("i") + 1, F.col("m")).alias("part")).select("item_id", "m", F.array_join("part", " ").alias("window"), _hashes(F.col("part")).alias("hashes")).distinct()
+    Windows shorter than ``span`` are one run.  Each row also gives one with at = -1.
+    """
+    keep = [c for c in rows.columns if c != "hashes"]
+    least, i, n = min(lengths, default=span), F.col("i"), F.col("n_words")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), n - F.lit(least)))).alias("i"))
+    parts = []
+    for m in lengths:
+        runs, k = _runs_from(m, span)
+        fits = (i >= 0) & (i + F.lit(m) <= n)
+        hashed = [F.when(fits, F.xxhash64(F.slice("hashes", F.greatest(F.lit(1), i + F.lit(1 + j)), F.lit(k)))) for j in range(-1 if runs > 1 else 0, runs)]
+        rows = rows.select("*", *[h.alias(f"run_{m}_{j}") for j, h in enumerate(hashed)])
+        names = [F.col(f"run_{m}_{j}") for j in range(len(hashed))]
+        if runs == 1:
+            parts.append(F.struct(F.lit(m).alias("m"), i.alias("at"), names[0].alias("print")))
+            continue
+
+        def kept(names):
+            low = F.least(*names)
+            at = F.lit(0)
+            for j, c in enumerate(names[1:], 1):
+                at = F.when(c == low, j).otherwise(at)
+            return low, at
+
+        (before, before_at), (low, at) = kept(names[:-1]), kept(names[1:])
+        new = (i == 0) | (before != low) | (before_at != at + 1)  # offsets count from the word before this window and from its first
+        parts.append(F.struct(F.lit(m).alias("m"), (i + at).alias("at"), F.when(new, low).alias("print")))
+    if not parts:
+        return rows.where("i < 0").select(*keep, F.lit(0).alias("m"), i.alias("at"), F.lit(None).cast("long").alias("print"))
+    itself = F.struct(F.lit(least).alias("m"), F.lit(-1).alias("at"), F.lit(None).cast("long").alias("print"))
+    parts = [F.when(i >= 0, x).otherwise(itself if not k else None) for k, x in enumerate(parts)]
+    out = rows.select(*keep, (F.explode(F.array(*parts)) if len(parts) > 1 else parts[0]).alias("p")).select(*keep, "p.m", "p.at", "p.print")
+    return out.where("print is not null or at < 0")
+
+
+def _around(span: int) -> list[Column]:
+    """The words of the run at ``at``, and RUNS - 1 words to its left, nearest first, and to its right."""
+    _, k = _runs_from(span, span)
+    at, reach = F.col("at"), min(RUNS, span) - 1
+    size = F.when(F.col("m") == span, k).otherwise(F.col("m"))
+    left = F.least(at, F.lit(reach))
+    return [
+        F.slice("words", at + 1, size).alias("run"),
+        F.reverse(F.slice("words", at - left + 1, left)).alias("left"),
+        F.slice("words", at + size + 1, F.lit(reach)).alias("right"),
+    ]
+
+
+def benchmark_runs(items: DataFrame, span: int) -> DataFrame:
+    """m, print, run, left, right and the items that have this run in these words, of the kept runs of all items."""
+    w = _split_words(items, F.col("item_id").cast("string").alias("item_id")).where("n_words > 0")
+    w = w.withColumn("own", F.least("n_words", F.lit(span)))
+    lengths = sorted(r["own"] for r in w.select("own").distinct().collect())  # up to span rows
+    f = fingerprints(w, span, lengths).where("at >= 0 and m = own").select("item_id", "m", "print", *_around(span))
+    short = F.col("m") < span
+    none = F.array().cast("array<string>")
+    f = f.select("item_id", "m", "print", "run", F.when(short, none).otherwise(F.col("left")).alias("left"), F.when(short, none).otherwise(F.col("right")).alias("right"))
+    return f.groupBy("m", "print", "run", "left", "right").agg(F.collect_set("item_id").alias("items"))
+
+
+def _common(a: str, b: str) -> Column:
+    """Length of the common beginning of two arrays of words."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+
+def _spans(docs: DataFrame, items: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_words) of every row, and (doc_id, text_key, start, end, items) of the shared spans."""
+    bench = scratch.write(benchmark_runs(items, span), "bench")
+    words = F.aggregate(F.concat("run", "left", "right"), F.lit(0), lambda a, w: a + F.octet_length(w) + 8)
+    ids = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
+    found = bench.groupBy("m").agg(F.sum((words + ids + 64).cast("long")).alias("bytes")).collect()  # a row for each length up to span
+    lengths, total = sorted(r["m"] for r in found), sum(r["bytes"] for r in found)
+    local = total <= MAX_BROADCAST
+    prints = bench.select("m", "print").distinct()
+    keys = [F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")]
+    rows = fingerprints(_split_words(docs, *keys), span, lengths)
+    names = ["doc_id", "text_key", "n_words", "m", "at", "print"]
+    if not lengths:
+        hits = rows.select(*names).withColumns({c: F.lit(None).cast("array<string>") for c in ("run", "left", "right")})
+    elif local:  # the row at -1 stands for the document itself
+        hits = rows.join(F.broadcast(prints.withColumn("hit", F.lit(True))), ["m", "print"], "left").where("at < 0 or hit")
+        hits = hits.select(*names, *[F.when(F.col("at") >= 0, c).alias(n) for c, n in zip(_around(span), ("run", "left", "right"), strict=True)])
+    else:
+        hits = rows.select(*names)
+        hits = hits.where("at >= 0").join(prints, ["m", "print"]).select(*names).unionByName(hits.where("at < 0"))
+    hits = scratch.write(hits, "hits")
+    base, hits = hits.where("at < 0").select("doc_id", "text_key", "n_words"), hits.where("at >= 0")
+    if lengths and not local:
+        places = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("m", "at", "print")).alias("places"))  # of one text
+        places = places.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "places")
+        again = docs.select(*keys, "text")
+        again = again.join(places, again["doc_id"].eqNullSafe(places["of"]) & (again["text_key"] == places["of_key"]))
+        again = again.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), F.explode("places").alias("p"))
+        hits = again.select("doc_id", "text_key", "words", "p.*").select("doc_id", "text_key", "m", "at", "print", *_around(span))
+    mine = bench.select("m", "print", F.col("run").alias("b_run"), F.col("left").alias("b_left"), F.col("right").alias("b_right"), "items")
+    both = hits.join(F.broadcast(mine) if local else mine, ["m", "print"]).where("run = b_run")
+    both = both.select("doc_id", "text_key", "m", "at", "items", F.size("run").alias("size"), _common("left", "b_left").alias("l"), _common("right", "b_right").alias("r"))
+    spans = both.where("l + size + r >= m").select("doc_id", "text_key", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("size") + F.col("r")).alias("end"), "items")
+    return base, spans
+
+
+def contaminated_texts(docs: DataFrame, items: DataFrame, span: int = 13, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id and text_key (hash of the text) of the documents that hold a window; cases as in :func:`contamination`."""
+    scratch = scratch or Scratch(docs.sparkSession, "winnow")
+    return _spans(docs, items, span, scratch)[1].select("doc_id", "text_key").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = 13, scratch: Scratch | None = None) -> DataFrame:
@@ -67,50 +170,18 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, scratch: Sc
     words, no hits and are clean; items without words and null items match
     nothing; null item_ids count as hits but not as items.  Empty tables give
     no rows, or rows without hits.  Repeated documents are judged one by one,
-    repeated items once.  Texts count whole, whatever their length.
+    repeated items once; of equal hashes in a window the last is kept, so ties
+    lose nothing.  Texts count whole, whatever their length.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "winnow")
-    bench = scratch.write(benchmark_windows(items, span), "bench")
-    found = bench.groupBy("m").count().collect()  # a row for each length up to span
-    lengths, total = sorted(r["m"] for r in found), sum(r["count"] for r in found)
-    small = F.broadcast if total <= MAX_BROADCAST else (lambda df: df)
-    prints = None
-    for m in lengths:
-        p = bench.where(F.col("m") == m).select("m", _fingerprint(F.col("hashes"), F.lit(0), m).alias("print")).distinct()
-        prints = p if prints is None else prints.unionByName(p)
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_key", "words", F.size("words").alias("n_words"), _hashes(F.col("words")).alias("hashes"))
-    least = min(lengths, default=span)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.col("n_words") - F.lit(least)))).alias("i"))
-    i = F.col("i")
-    fits = [F.when((i >= 0) & (i + F.lit(m) <= F.col("n_words")), _fingerprint(F.col("hashes"), i, m)) for m in lengths]
-    if len(lengths) > 1:
-        rows = rows.select("doc_id", "text_key", "words", "n_words", "i", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), f.alias("print")) for m, f in zip(lengths, fits, strict=True)])).alias("p"))
-        rows = rows.select("doc_id", "text_key", "words", "n_words", "i", "p.m", "p.print").where(F.col("print").isNotNull() | ((i < 0) & (F.col("m") == least)))
-    elif lengths:
-        rows = rows.select("doc_id", "text_key", "words", "n_words", "i", F.lit(least).alias("m"), fits[0].alias("print"))
-    keep = ["doc_id", "text_key", "n_words", "i"]
-    if not lengths:
-        hits = rows.where("i < 0").select(*keep, F.lit(0).alias("m"), F.lit("").alias("window"))
-    elif total <= MAX_BROADCAST:  # the row at -1 stands for the document itself
-        hits = rows.join(F.broadcast(prints.withColumn("hit", F.lit(True))), ["m", "print"], "left").where("i < 0 or hit")
-        hits = hits.select(*keep, "m", F.when(i >= 0, _window(F.col("words"), i, F.col("m"))).alias("window"))
-    else:
-        hits = rows.where("i >= 0").select(*keep, "m", "print", _window(F.col("words"), i, F.col("m")).alias("window")).join(prints, ["m", "print"]).drop("print")
-        hits = hits.unionByName(rows.where("i < 0").select(*keep, "m", F.lit(None).cast("string").alias("window")))
-    hits = scratch.write(hits.select(*keep, "m", "window"), "hits")
-
-    same = hits.where("i >= 0").join(small(bench.select("m", "window", "item_id")), ["m", "window"])
-    items_of = same.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    spans = same.select("doc_id", "text_key", "i", "m").distinct()
-    before = Window.partitionBy("doc_id", "text_key").orderBy("i", "m").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("i") + F.col("m")
-    new = F.greatest(F.lit(0), end - F.greatest(F.col("i"), F.coalesce(F.max(end).over(before), F.col("i"))))
-    covered = spans.withColumn("new", new).groupBy("doc_id", "text_key").agg(F.sum("new").alias("n_hit"))
+    scratch = scratch or Scratch(docs.sparkSession, "winnow")
+    base, spans = _spans(docs, items, span, scratch)
+    spans = scratch.write(spans, "spans")
+    items_of = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    before = Window.partitionBy("doc_id", "text_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.col("start"))))
+    covered = spans.select("doc_id", "text_key", "start", "end").distinct().withColumn("new", new).groupBy("doc_id", "text_key").agg(F.sum("new").alias("n_hit"))
     found = covered.alias("c").join(items_of.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))).select("c.doc_id", "c.text_key", "n_hit", "items")
-    base = hits.where("i < 0").alias("b")
+    base = base.alias("b")
     out = base.join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key")), "left")
     n_hit, n_words = F.coalesce("n_hit", F.lit(0)).cast("long"), F.col("n_words").cast("long")
     return out.select(

@@ -1,12 +1,15 @@
 """Joins and dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sumwell.llm import winnow
 from sumwell.llm.chunk_dedup import boundaries, chunks, cut_spans, gear_hash, repeated_spans
 from sumwell.llm.exact_dedup import drop_exact_duplicates, exact_groups
 from sumwell.llm.jaccard_join import Rule, divide_skip, jaccard_components
@@ -129,10 +132,8 @@ def brute_contamination(rows, items, span):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_contamination(spark, monkeypatch, limit):
-    from sumwell.llm import winnow
-
     monkeypatch.setattr(winnow, "MAX_BROADCAST", limit)
     rows = hard_documents(7)
     long = rows[9][1] if len(rows[9][1].split()) > 30 else next(t for _, t, *_ in rows if t and len(t.split()) > 100)
@@ -150,6 +151,19 @@ def test_contamination(spark, monkeypatch, limit):
     assert none.count() == len(rows) and none.where("contaminated or n_hit > 0").count() == 0
 
 
+def test_winnowing_thins_and_repeats(spark):
+    rows = [(1, "a " * 400, None, None, None), (2, " ".join(f"u{k}" for k in range(3000)), None, None, None)]
+    kept = winnow.fingerprints(winnow._split_words(documents(spark, rows), "doc_id"), 13, [13]).where("at >= 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("at").alias("d")).collect()
+    n = {r["doc_id"]: (r["n"], r["d"]) for r in kept}
+    assert n[2][0] == n[2][1] and 0.3 * 3000 < n[2][0] < 0.5 * 3000 and n[1][0] == n[1][1]  # 2 / (RUNS + 1) of all runs
+    r = random.Random(9)
+    # repetitive texts share windows in many ways
+    texts = [(k, " ".join(r.choice("ab") for _ in range(r.choice([5, 30, 90]))), None, None, None) for k in range(40)]
+    items = [(k, " ".join(r.choice("ab") for _ in range(r.choice([4, 14, 25])))) for k in range(8)] + [(9, texts[5][1]), (10, texts[7][1][:41])]
+    got = contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(tuple(x[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in got) == brute_contamination(texts, items, 13)
+
+
 def test_gear_chunks():
     r = np.random.default_rng(3)
     a = r.integers(97, 123, 20_000).astype(np.uint8)
@@ -170,8 +184,6 @@ def test_gear_chunks():
 
 
 def test_repeated_spans(spark):
-    import random
-
     r = random.Random(5)
     text = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvé") for _ in range(r.randrange(2, 9))) for _ in range(n))
     passage, clean = text(80), {k: text(300) for k in range(20)}
