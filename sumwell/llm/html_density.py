@@ -11,14 +11,17 @@ largest sum of densities is main text; the least density on its path to the
 body is the threshold for more.  Below each node that reaches it, or reaches
 what the threshold's node would have at that node's size, the node with the
 largest sum is accepted too.  The main text is the innermost node that holds
-all of them, without parts that are mostly links and hold none.  Menus, adverts,
-forms, comments and the like are cut from the tree by their tag, role, class
-or id before densities are compared; they do count for the body's figures.
+all of them, without parts that are mostly links and hold none.  Menus, forms,
+footers and the like are cut from the tree by their tag or role before
+densities are compared; they do count for the body's figures.  A class or id
+that names an advert, a notice, comments and the like cuts its part only if
+that is mostly links, or if the page has text without it: see _settle_names.
 Character data of a node itself counts as a child, also for the threshold.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import math
 import re
@@ -45,6 +48,13 @@ _CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments disqus replies reply respond discussion widget toolbar pagination pager disclaimer copyright".split()
 )
+#: Words that may follow a name in a class or id without changing what it says.
+_TRAILERS = frozenset(
+    "box block wrap wrapper container area section inner outer list lists item items row col column left right top bottom content body text title header head panel bar unit slot link links button buttons icon icons group form field page view "
+    "thread posts articles stories media topics".split()
+)
+#: A named part is cut if the text outside of named parts has at least this share of its own.
+LEAST_OUTSIDE = 0.05
 _NEVER_CUT = frozenset("html body article main".split())
 #: A start tag closes an open element of these names: paragraphs end where blocks begin, items where items begin.
 _P_ENDS = _BLOCKS - {"button", "caption", "option", "optgroup", "body", "html", "head", "tbody", "td", "tfoot", "th", "thead", "tr", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "map", "math", "audio", "video", "title", "textarea", "select"}
@@ -54,30 +64,42 @@ _SIBLING_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"
 class Node:
     """A block element: its children are nodes and pieces of character data, in page order."""
 
-    __slots__ = ("children", "cut", "density", "density_sum", "links", "link_chars", "chars", "name", "own", "own_density", "parent", "tags")
+    __slots__ = ("children", "cut", "density", "density_sum", "links", "link_chars", "chars", "name", "named", "own", "own_density", "parent", "tags", "text")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool):
-        self.name, self.parent, self.cut, self.children = name, parent, cut, []
+    def __init__(self, name: str, parent: Node | None, cut: bool, named: bool = False):
+        self.name, self.parent, self.cut, self.named, self.children, self.text = name, parent, cut, named, [], 0
         self.chars = self.link_chars = self.own = self.tags = self.links = 0
         self.density = self.density_sum = self.own_density = 0.0
 
 
-def _is_cut(name: str, attrs: str, in_article: bool) -> bool:
+def _names_a_cut(value: str) -> bool:
+    """Whether a word of a class or id names a part to cut: its last part, but for trailers and numbers, is such a name."""
+    for word in value.split():
+        parts = [p.lower() for p in _NAME_PARTS.findall(word) if not p.isdigit()]
+        while len(parts) > 1 and parts[-1] in _TRAILERS and "".join(parts[-2:]) not in _CUT_NAMES:
+            parts.pop()
+        if parts and (parts[-1] in _CUT_NAMES or "".join(parts[-2:]) in _CUT_NAMES):
+            return True
+    return False
+
+
+def _is_cut(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether tag, role or style cut an element, and whether its class or id names a part to cut."""
     if name in _NEVER_CUT:
-        return False
+        return False, False
     if name in _CUT_TAGS or name == "header" and not in_article:
-        return True
+        return True, False
     if not attrs or attrs.isspace():
-        return False
+        return False, False
+    named = False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, False
         if key == "role" and value.lower() in _CUT_ROLES:
-            return True
-        if key in ("class", "id") and any(p.lower() in _CUT_NAMES for p in _NAME_PARTS.findall(value)):
-            return True
-    return False
+            return True, False
+        named = named or key in ("class", "id") and _names_a_cut(value)
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -147,7 +169,8 @@ def parse(page: str) -> Node:
                         break
             if name == "body":  # an unclosed head ends here
                 close_to(1)
-            node = Node(name, stack[-1], stack[-1].cut or _is_cut(name, m[3], opened["article"] + opened["main"] > 0))
+            cut, named = _is_cut(name, m[3], opened["article"] + opened["main"] > 0)
+            node = Node(name, stack[-1], stack[-1].cut or cut, named)
             stack[-1].children.append(node)
             if name in _RAW:
                 raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -158,11 +181,52 @@ def parse(page: str) -> Node:
     return root
 
 
+def _settle_names(order: list[Node]) -> None:
+    """Cut the named parts, but for those that hold so much of the page's text that they must be it.
+
+    The text outside of all named parts, links aside, is compared with that
+    of the largest.  Where it has less than LEAST_OUTSIDE of it, the name is
+    passed over: its text counts as outside then, and named parts within it
+    are judged like the others.
+    """
+    if not any(n.named for n in order):
+        return
+    for n in reversed(order):
+        if not n.cut:
+            n.text += n.chars - n.link_chars
+            if n.parent is not None:
+                n.parent.text += n.text
+
+    def named_below(top: Node) -> list[Node]:
+        found, walk = [], [top]
+        while walk:
+            for c in walk.pop().children:
+                if isinstance(c, Node) and not c.cut:
+                    (found if c.named else walk).append(c)
+        return found
+
+    root = order[0]
+    parts = named_below(root)
+    outside = root.text - sum(n.text for n in parts)
+    heap = [(-n.text, k, n) for k, n in enumerate(parts)]
+    heapq.heapify(heap)
+    while heap and outside < LEAST_OUTSIDE * -heap[0][0]:
+        n = heapq.heappop(heap)[2]
+        n.named, below = False, named_below(n)
+        outside += n.text - sum(c.text for c in below)
+        for c in below:
+            heapq.heappush(heap, (-c.text, len(parts), c))
+            parts.append(c)
+    for n in order:  # parents first
+        n.cut = n.cut or n.named or n.parent is not None and n.parent.cut
+
+
 def _score(root: Node) -> tuple[list[Node], float]:
     """Fill in counts and densities; the nodes that are not cut, parents first, and the body's share of link characters."""
     order = [root]
     for n in order:
         order += [c for c in n.children if isinstance(c, Node)]
+    _settle_names(order)
     body_chars = sum(n.chars for n in order)
     body_links = sum(n.link_chars for n in order)
     ratio = body_links / max(1, body_chars)
@@ -265,7 +329,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null, empty and textless pages have an empty text.  Broken, truncated and
-    very long pages are read whole.  Repeated rows are treated one by one, an
+    very long pages are read whole.  Of equal densities the outermost node,
+    then the first, is taken.  Repeated rows are treated one by one, an
     empty table gives an empty result, further columns are ignored.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
