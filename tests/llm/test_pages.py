@@ -3,12 +3,16 @@
 import base64
 import gzip
 import hashlib
+import math
+import random
+from collections import Counter
 
 import pytest
 
-from sumwell.llm.html_density import extract_main_text, main_text
+from sumwell.llm import html_density, warc
+from sumwell.llm.html_density import extract_main_text, main_text, parse
 from sumwell.llm.scratch import Scratch
-from sumwell.llm.warc import archive_round_trip, chunk_rows, read_archives, record_plan, write_archives
+from sumwell.llm.warc import archive_round_trip, chunk_rows, read_archives, repeated_payloads, write_archives
 
 PAGES = [
     (1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e\nx", "é漢" * 5000), (6, "http://f", "x\r\n\r\nWARC/1.1\r\n\r\n"), (7, "http://g", "<p>same</p>"), (8, "http://h", "y" * 100_000),
@@ -39,8 +43,9 @@ def test_round_trip(spark, chunk):
 def test_chunks_and_files(spark):
     s = Scratch(spark, "w")
     p = pages(spark)
-    plan = s.write(record_plan(p, 1), "plan")
-    manifest = s.write(write_archives(chunk_rows(p, plan, 4096), s.path("files")), "manifest")
+    again = s.write(repeated_payloads(p, 1), "again")
+    manifest = s.write(write_archives(chunk_rows(p, again, 4096), s.path("files"), 200), "manifest")
+    assert manifest.count() > 3  # archives end at 200 bytes
     rows = read_archives(manifest, 4096).collect()
     body = {}
     for r in sorted(rows, key=lambda r: (r["record_id"], r["chunk_no"])):
@@ -55,6 +60,33 @@ def test_chunks_and_files(spark):
         assert raw.count(b"WARC-Record-ID: ") == r["records"] and raw.startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_repeated_rows_and_shared_page_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (2, "v", "<p>b</p>"), (2, "v", "<p>b</p>"), (3, "w", None), (3, "w", ""), (None, "x", "<p>b</p>"), (None, "x", "alone"), (None, "y", "alone"), (None, "y", "once")]
+    rows += [(10 + k, "z", "many") for k in range(40)]
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["verified"]) for r in archive_round_trip(pages(spark, rows)).collect())
+    last = {}
+    for i, _, h in rows:
+        if i is not None:
+            last[h or ""] = max(i, last.get(h or "", i))
+
+    def record(i, h):
+        data, top = (h or "").encode(), last.get(h or "")
+        return (i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), *(("response", None) if i == top else ("revisit", top)), True)
+
+    assert got == Counter(record(i, h) for i, _, h in rows)
+
+
+def test_a_revisit_has_no_bytes_of_its_own(spark):
+    s = Scratch(spark, "w")
+    p = pages(spark, PAGES[:2])
+    again = repeated_payloads(p, 0)
+    s.write(write_archives(chunk_rows(p, again), s.path("files")), "manifest")
+    rows = [r for r in read_archives(spark.read.parquet(s.path("manifest"))).collect() if r["record_type"] == "revisit"]
+    assert len(rows) == 1 and rows[0]["bytes_so_far"] == 0 and rows[0]["payload_length"] == len(PAGES[0][2])
+
+
 def test_no_pages(spark):
     assert archive_round_trip(pages(spark, [])).count() == 0 and extract_main_text(pages(spark, [])).count() == 0
 
@@ -90,6 +122,60 @@ def test_extraction_query(spark):
     assert got == sorted([("1", "u", TEXT, len(TEXT)), ("2", None, "", 0), ("1", "u", TEXT, len(TEXT)), ("None", "v", "x", 1), ("4", "w", ("word " * 100_000).strip(), 499_999)], key=str)
 
 
+LONG = [f"line {k} of the article " + "with some words of text " * 12 for k in range(6)]
+
+
+@pytest.mark.parametrize("name", ["share-price-analysis", "related-work", "ad-hoc-networks", "social", "signup-page", "page with-comments", "notice-of-appeal"])
+def test_names_do_not_remove_an_article(name):
+    extra = "<div class='ad-box'>Buy now, a long advert text.</div><div class='related-posts'><p>see this as well, it is good</p></div><ol id=comment-list-2><li>a reader's remark, long enough to be text of its own</li></ol>"
+    for article in ("<div class='{0}'>{1}</div>", "<div id={0!r}><div class='ad'>Buy more</div>{1}</div>"):
+        page = "<body>" + LINKS + article.format(name, _paragraphs(LONG)) + extra + "</body>"
+        assert main_text(page) == "\n".join(t.strip() for t in LONG)
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "sideBar_left", "cookie-consent-banner-2", "social-media", "newsletter signup"])
+def test_named_parts_go(name):
+    side = "".join(f"<p>another voice {k} " + "says something at length about it " * 9 + "</p>" for k in range(12))
+    page = "<body><article>" + _paragraphs(LONG) + f"</article><div class='{name}'>{side}</div></body>"
+    assert main_text(page) == "\n".join(t.strip() for t in LONG)
+
+
+def brute_densities(page):
+    """Densities and sums by the formula, recursively over the parsed tree."""
+    root, out = parse(page), {}
+    whole = lambda n: [n.chars, n.link_chars] if not n.children else [sum(x) for x in zip([n.chars, n.link_chars], *[whole(c) for c in n.children if not isinstance(c, str)], strict=True)]
+    c_b, lc_b = whole(root)
+
+    def density(c, lc, t, lt):
+        base = math.log(c / max(1, c - lc) * lc + lc_b / max(1, c_b) * c + math.e)
+        return c / max(1, t) * max(0, math.log(c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.05, math.log(base)) if c else 0.0
+
+    def go(n):
+        below = [go(c) for c in n.children if not isinstance(c, str) and not c.cut]
+        c, lc, t, lt = (own + sum(b[k] + (k == 2) for b in below) for k, own in enumerate((n.chars, n.link_chars, n.tags, n.links)))
+        own = n.chars * math.log(max(1, n.chars)) / max(0.05, math.log(math.log(lc_b / max(1, c_b) * n.chars + math.e))) if n.chars else 0.0
+        out[id(n)] = (density(c, lc, t, lt), sum(b[4] for b in below) + own)
+        return c, lc, t, lt, out[id(n)][0]
+
+    go(root)
+    return root, out
+
+
+def test_densities_equal_the_formula():
+    r = random.Random(3)
+
+    def tree(depth):
+        if not depth or r.random() < 0.2:
+            return r.choice(["some text of a node ", "<a href=/x>a link</a> and text ", "x", "<b>bold</b> words here "]) * r.randrange(0, 9)
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "p", "section", "ul", "nav"], k=r.randrange(1, 4)))
+
+    for _ in range(60):
+        page = "<body>" + tree(4) + "</body>"
+        root, want = brute_densities(page)
+        kept, _ = html_density._score(root)
+        assert all(want[id(n)] == pytest.approx((n.density, n.density_sum)) for n in kept)
+
+
 LINKS = "<nav><ul>" + "".join(f"<li><a href=/{k}>menu item {k}</a></li>" for k in range(30)) + "</ul></nav>"
 PARTS = [[f"part {a} paragraph {b} " + "some words of the article " * n for b in range(5)] for a, n in enumerate((12, 11, 10))]
 
