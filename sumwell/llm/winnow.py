@@ -17,6 +17,7 @@ and the words around the hits are fetched afterwards.
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,40 +54,37 @@ def _runs_from(m: int, span: int) -> tuple[int, int]:
 
 
 def fingerprints(rows: DataFrame, span: int, lengths: list[int]) -> DataFrame:
-    """The rows (words, n_words, hashes and more) by (m, at, print): the kept run of windows of m words starts at word ``at`` (from 0).
+    """The rows (words, n_words, hashes and more) by (m, at, print): the kept runs of windows of m words start at word ``at`` (from 0).
 
-    Windows shorter than ``span`` are one run.  Each row also gives one with at = -1.
+    A run is kept if it is the least of some window: as many runs to its left
+    that are not less and to its right that are greater as a window has beside
+    it.  Windows shorter than ``span`` are one run.  Each row also gives one
+    with at = -1.
     """
-    keep = [c for c in rows.columns if c != "hashes"]
-    least, i, n = min(lengths, default=span), F.col("i"), F.col("n_words")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), n - F.lit(least)))).alias("i"))
-    parts = []
-    for m in lengths:
-        runs, k = _runs_from(m, span)
-        fits = (i >= 0) & (i + F.lit(m) <= n)
-        hashed = [F.when(fits, F.xxhash64(F.slice("hashes", F.greatest(F.lit(1), i + F.lit(1 + j)), F.lit(k)))) for j in range(-1 if runs > 1 else 0, runs)]
-        rows = rows.select("*", *[h.alias(f"run_{m}_{j}") for j, h in enumerate(hashed)])
-        names = [F.col(f"run_{m}_{j}") for j in range(len(hashed))]
-        if runs == 1:
-            parts.append(F.struct(F.lit(m).alias("m"), i.alias("at"), names[0].alias("print")))
-            continue
-
-        def kept(names):
-            low = F.least(*names)
-            at = F.lit(0)
-            for j, c in enumerate(names[1:], 1):
-                at = F.when(c == low, j).otherwise(at)
-            return low, at
-
-        (before, before_at), (low, at) = kept(names[:-1]), kept(names[1:])
-        new = (i == 0) | (before != low) | (before_at != at + 1)  # offsets count from the word before this window and from its first
-        parts.append(F.struct(F.lit(m).alias("m"), (i + at).alias("at"), F.when(new, low).alias("print")))
-    if not parts:
-        return rows.where("i < 0").select(*keep, F.lit(0).alias("m"), i.alias("at"), F.lit(None).cast("long").alias("print"))
-    itself = F.struct(F.lit(least).alias("m"), F.lit(-1).alias("at"), F.lit(None).cast("long").alias("print"))
-    parts = [F.when(i >= 0, x).otherwise(itself if not k else None) for k, x in enumerate(parts)]
-    out = rows.select(*keep, (F.explode(F.array(*parts)) if len(parts) > 1 else parts[0]).alias("p")).select(*keep, "p.m", "p.at", "p.print")
-    return out.where("print is not null or at < 0")
+    keep, n = [c for c in rows.columns if c != "hashes"], F.col("n_words")
+    kept = [F.array(F.struct(F.lit(min(lengths, default=0)).alias("m"), F.lit(-1).alias("at"), F.lit(None).cast("long").alias("print")))]
+
+    def hashed(m: int) -> Column:
+        _, k = _runs_from(m, span)
+        return F.transform(F.sequence(F.lit(0), n - F.lit(k)), lambda j: F.xxhash64(F.slice("hashes", j + 1, F.lit(k))))
+
+    def least(m: int, i: Column) -> Column:
+        own, beside = F.get(f"runs_{m}", i), _runs_from(m, span)[0] - 1
+        before = [F.get(f"runs_{m}", i - F.lit(j)) >= own for j in range(1, beside + 1)]
+        after = [F.get(f"runs_{m}", i + F.lit(j)) > own for j in range(1, beside + 1)]
+        out = F.lit(beside == 0)
+        for left in range(beside + 1) if beside else ():
+            out = out | functools.reduce(Column.__and__, [*before[:left], *after[: beside - left]])
+        return F.coalesce(out, F.lit(False))  # null beyond the ends of the text
+
+    def places(m: int) -> Column:
+        every = F.when(F.size(f"runs_{m}") > 0, F.sequence(F.lit(0), F.size(f"runs_{m}") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(every, lambda i: least(m, i)), lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), F.get(f"runs_{m}", i).alias("print")))
+
+    # selected in arrays: as generated code for a row per word this would be too long to be compiled
+    runs = [F.when(n >= m, hashed(m)).otherwise(F.array().cast("array<bigint>")).alias(f"runs_{m}") for m in lengths]
+    kept += [places(m) for m in lengths]
+    return rows.select(*keep, *runs).select(*keep, F.explode(F.concat(*kept)).alias("p")).select(*keep, "p.m", "p.at", "p.print")
 
 
 def _around(span: int) -> list[Column]:
