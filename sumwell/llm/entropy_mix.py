@@ -7,7 +7,13 @@ exponential tilt, ``r = min(cap, exp(lambda * size / mean size))`` with one
 multiplier per source; the multipliers solve the convex dual by safeguarded
 Newton steps.  A step is one aggregation over the (source, size) counts of
 all documents, in whole numbers, so that any order of addition gives the same
-multipliers.  Rates are rounded to copies systematically along the sizes.
+multipliers.
+
+Rates are rounded to copies systematically along the sizes.  What a source
+then lacks, or has too much, is spread over its documents by one copy at a
+time: the cells (size, copies) take it from the largest size that still fits
+to the smallest, so that what remains is less than the smallest document that
+could take it.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +31,6 @@ from sumwell.llm.scratch import Scratch
 
 #: Rates are whole multiples of one over this.
 GRID = 10**9
-#: Offsets of the running sum that are tried.
-PHASES = 64
 #: Documents of a source that are rounded along one running sum, about.
 ROUND_TOGETHER = 2_000
 #: Sources are held on the driver, one row each.
@@ -108,7 +113,10 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     add up to all words but stop at ``cap`` times a source's words, the excess
     going to the others by weight.  Null and empty texts have size 0 and add
     nothing whatever their copies (0).  Repeated rows count as documents of
-    their own.  An empty table gives an empty result.  Results don't depend
+    their own; ties in size are broken by a hash of doc_id, and rows that share
+    both are alike.  The words taken of a source differ from its target by less
+    than its smallest document that could have a copy more (or less).  Texts
+    count whole.  An empty table gives an empty result.  Results don't depend
     on partitioning.  Further columns are ignored.
     """
     spark = docs.sparkSession
@@ -149,21 +157,83 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     # whole rates need no rounding; the others are rounded along a running sum, ordered by size so that errors cancel
     order = Window.partitionBy("source", "part").orderBy("size", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("running", F.sum(F.col("rate") % GRID).over(order)).select("doc_id", "source", "size", "source_size", "target", "rate", "running")
-    rows = scratch.write(rows, "rates")
-
-    def copies(phase: Column) -> Column:
-        end = F.col("running") + phase
-        return (F.floor(F.col("rate") / F.lit(GRID)) + F.floor(end / F.lit(GRID)) - F.floor((end - F.col("rate") % GRID) / F.lit(GRID))).cast("long")
-
-    # of some phases of the running sum, each source takes the one that meets its target best
-    tries = rows.groupBy("source").agg(*[F.sum(F.col("size") * copies(F.lit(GRID * k // PHASES))).alias(f"t{k}") for k in range(PHASES)]).collect()
-    goal = {d.source: d.target for d in duals}
-    phases = [(r["source"], GRID * min(range(PHASES), key=lambda k, r=r: (abs((r[f"t{k}"] or 0) - goal[r["source"]]), k)) // PHASES) for r in tries]
-    phases = F.broadcast(spark.createDataFrame(phases, "mix_key string, phase long"))
-    rows = rows.join(phases, F.col("source").eqNullSafe(F.col("mix_key"))).withColumn("copies", copies(F.col("phase")))
+    end = F.col("running") + F.lit(GRID // 2)
+    copies = (F.floor(F.col("rate") / F.lit(GRID)) + F.floor(end / F.lit(GRID)) - F.floor((end - F.col("rate") % GRID) / F.lit(GRID))).cast("long")
+    rows = scratch.write(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")), "rounded")
+    rows = _close_gaps(rows, cap, scratch)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def fill_cells(size: list[int], copies: list[int], n: list[int], gap: float, cap: int) -> list[int]:
+    """Copies to add to (or, below 0, to take from) each cell of n documents of one size and number of copies.
+
+    The cells take turns from the largest size to the smallest, as many copies
+    as the gap and the cell hold.  Then one copy of the smallest size beyond
+    what remains is tried too, with smaller ones the other way, and kept if
+    that comes closer.
+    """
+    order = sorted((k for k in range(len(size)) if size[k] > 0), key=lambda k: (-size[k], copies[k]))
+    now = [c * m for c, m in zip(copies, n, strict=True)]
+
+    def room(k: int, at: list[int], up: bool) -> int:
+        return cap * n[k] - at[k] if up else at[k]
+
+    def fill(left: float, at: list[int], below: float) -> float:
+        for k in order:
+            if size[k] < below:
+                took = min(room(k, at, left > 0), int(abs(left) // size[k])) * (1 if left > 0 else -1)
+                at[k] += took
+                left -= took * size[k]
+        return left
+
+    left = fill(gap, now, math.inf)
+    for k in reversed(order):
+        if size[k] > abs(left) > 0 and room(k, now, left > 0):
+            other, step = now[:], 1 if left > 0 else -1
+            other[k] += step
+            if abs(fill(left - step * size[k], other, size[k])) < abs(left):
+                now = other
+            break
+    return [x - c * m for x, c, m in zip(now, copies, n, strict=True)]
+
+
+def _close_gaps(rows: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
+    """The rows with their copies changed so that each source meets its target.
+
+    Cells are counted with partial sums and dealt by source: a task holds one
+    source's distinct (size, copies), whose number grows with the longest
+    text, not with the documents.  Within a cell every document takes the
+    whole share; what is left over goes to the first by a hash of doc_id, found
+    by counts of parts, so that no cell is ranked in one task.
+    """
+    cells = scratch.write(rows.where("size > 0").groupBy("source", "size", "copies", "target").agg(F.count("*").alias("n")), "cells")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, copies, n = (pdf[c].to_numpy().tolist() for c in ("size", "copies", "n"))
+        gap = float(pdf["target"].iloc[0]) - float(sum(a * b * c for a, b, c in zip(size, copies, n, strict=True)))
+        moved = fill_cells(size, copies, n, gap, cap)
+        out = pdf[["source", "size", "copies"]].rename(columns={"source": "cell_source", "size": "cell_size", "copies": "cell_copies"})
+        out["each"], out["more"], out["n"] = [int(m / k) for m, k in zip(moved, n, strict=True)], [m - int(m / k) * k for m, k in zip(moved, n, strict=True)], n
+        return out[(out["each"] != 0) | (out["more"] != 0)]
+
+    moves = cells.groupBy("source").applyInPandas(fill, "cell_source string, cell_size long, cell_copies long, each long, more long, n long")
+    moves = scratch.write(moves, "moves")
+    same = F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size")) & (F.col("copies") == F.col("cell_copies"))
+    # a cell is dealt into parts by the hash; parts before a document's own, and its place in it, are its place in the cell
+    part = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / ROUND_TOGETHER))).cast("long")
+    rows = rows.join(moves, same, "left").withColumn("part", F.when(F.col("more") != 0, part)).drop("cell_source", "cell_size", "cell_copies", "n")
+    whole = rows.where("part is null").select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.coalesce("each", F.lit(0))).alias("copies"))
+    some = scratch.write(rows.where("part is not null"), "some")
+    cell = ["source", "size", "copies"]
+    parts = some.groupBy(*cell, "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*[F.col(c).alias(f"p_{c}") for c in (*cell, "part")], "before")
+    here = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*cell, "part")]
+    place = F.row_number().over(Window.partitionBy(*cell, "part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    some = some.withColumn("place", place).join(parts, here[0] & here[1] & here[2] & here[3])
+    step = F.when(F.col("place") + F.col("before") <= F.abs("more"), F.signum("more").cast("long")).otherwise(F.lit(0))
+    return whole.unionByName(some.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.col("each") + step).alias("copies")))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The documents of the mixture, all columns, as many rows as a document has copies.
 
