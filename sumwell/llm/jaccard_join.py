@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumwell.llm.exact_dedup import free_name
 from sumwell.llm.scratch import Scratch, components, most_frequent
 from sumwell.llm.text import mix, shingle_sets
 
@@ -38,6 +39,8 @@ SHORT_LIST = 32
 MAX_FREQUENT = 500_000
 #: Nodes of a cluster that are searched together.
 BLOCK = 512
+#: Names shared by different sets that are told apart; 10^11 sets have about 300.
+MAX_CLASHES = 100_000
 #: Bits of the filter that keeps texts outside all clusters from being hashed again.
 FILTER_BITS = 23
 
@@ -70,10 +73,17 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values.view(np.int64)))
 
 
-def _node(s: np.ndarray) -> int:
-    """Name of a shingle set: a hash of its size and members."""
-    v = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)
-    return int(mix(v).view(np.int64)[0])
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of the size and members of a shingle set."""
+    v = np.array([mix(s ^ np.uint64(k)).sum(dtype=np.uint64) + np.uint64(len(s)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], dtype=np.uint64)
+    a, b = mix(v).view(np.int64)
+    return int(a), int(b)
+
+
+def _node(s: np.ndarray, clashes: frozenset[int]) -> tuple[int, int]:
+    """Name of a shingle set and a second hash that tells sets of one name apart; known clashes get another name."""
+    a, b = _set_hash(s)
+    return (int(mix(np.array([a ^ (b >> 1)]).view(np.uint64)).view(np.int64)[0]) if a in clashes else a), b
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -92,22 +102,44 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iter
         yield out()
 
 
-def shingle_table(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """doc_id, node, n and the first shingles in hash order (some more than the prefix) of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int64()))])
+def shingle_table(docs: DataFrame, words: int, rule: Rule, clashes: frozenset[int]) -> DataFrame:
+    """doc_id, row, node, check, n and the first shingles in hash order (some more than the prefix) of every text (doc_id, row, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            ids, sets = b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words)
+            ids, keys, sets = b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist(), words)
 
-            def rows(ids=ids, sets=sets):
-                for i, s in zip(ids, sets, strict=True):
+            def rows(ids=ids, keys=keys, sets=sets):
+                for i, k, s in zip(ids, keys, sets, strict=True):
                     n = len(s)
-                    yield i, _node(s), n, s[: int(rule.prefix(n)) + 4 + n // 20]
+                    yield i, k, *_node(s, clashes), n, s[: int(rule.prefix(n)) + 4 + n // 20]
 
             yield from _batches(rows(), schema)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, node long, check long, n long, head array<long>")
+
+
+def _nodes(docs: DataFrame, words: int, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """The shingle table, one row per node, and the names that different sets would share.
+
+    With 64 bits about n^2 / 2^65 pairs of n sets share a name.  A second hash
+    shows them, and the table is made again with other names for these.
+    """
+    clashes: frozenset[int] = frozenset()
+    for k in range(3):
+        table = scratch.write(shingle_table(docs, words, rule, clashes), f"table{k}")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        nodes = table.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), first, (F.min("check") != F.max("check")).alias("clash"))
+        nodes = scratch.write(nodes, f"nodes{k}")
+        found = {r["node"] for r in nodes.where("clash").select("node").limit(MAX_CLASHES + 1).collect()}
+        if not found:
+            return table, nodes.drop("clash"), clashes
+        if len(found) > MAX_CLASHES:
+            break
+        clashes |= found
+        scratch.drop(f"table{k}", f"nodes{k}")
+    raise ValueError("too many shingle sets share a hash")
 
 
 def _first(s: np.ndarray, n: int, frequent: np.ndarray, want: int) -> tuple[np.ndarray, int] | None:
@@ -315,7 +347,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _fetch_sets(docs: DataFrame, wanted: DataFrame, words: int, clashes: frozenset[int]) -> DataFrame:
     """(node, n, shingles) of the wanted (doc_id, node): their texts are hashed again, others are passed over."""
     bits = docs.sparkSession.sparkContext.broadcast(_member_filter(wanted))
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -326,7 +358,7 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for b in batches:
             h = b.column(1).to_numpy(zero_copy_only=False)
             some = b.column(0).filter(pa.array((table[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1)).to_pylist()
-            yield from _batches(((_node(s), len(s), s) for s in shingle_sets(some, words)), schema, 500)
+            yield from _batches(((_node(s, clashes)[0], len(s), s) for s in shingle_sets(some, words)), schema, 500)
 
     got = hashed.mapInArrow(run, "node long, n long, shingles array<long>")
     # a false pass of the filter ends here; so do further copies of a node's text
@@ -344,12 +376,43 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     whole.  A null doc_id takes part; it never becomes a component_id while a
     doc_id that is not null is reachable.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    table, named = _join(docs, words, Rule(num, den), short_list, block, scratch or Scratch(docs.sparkSession, "jaccard"))
+    out = table.select("doc_id", "node", "n").join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that link, directly or through others, with a row that stays.
+
+    Of each component the row with the smallest doc_id stays, a null doc_id
+    last; rows that share it are told apart by a hash of all their columns,
+    and of rows that are equal in all columns one stays.  Texts without words
+    link with nothing and stay, repeated or not.  Other cases as in
+    :func:`jaccard_components`.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    key, doc, row, more = (free_name(docs, f"near_{x}") for x in ("key", "doc", "row", "more"))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
+    table, named = _join(rows, words, Rule(num, den), SHORT_LIST, BLOCK, scratch)
+    found = table.where("n > 0").join(named.select("node", "keep_doc", "keep_row"), "node")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("row") == F.col("keep_row"))
+    # rows that go, and rows that stay once although they occur again; nothing else needs a look
+    marked = found.groupBy("doc_id", "row", stays.alias("stays")).agg(F.count("*").alias("n")).where("not stays or n > 1")
+    marked = scratch.write(marked.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("stays").alias(more)), "marked")
+    same = lambda m: keyed["doc_id"].cast("long").eqNullSafe(m[doc]) & (keyed[key] == m[row])
+    left = keyed.join(marked, same(marked), "left_anti")
+    if marked.where(F.col(more)).limit(1).count():
+        again = marked.where(F.col(more))
+        left = left.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", key]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _join(docs: DataFrame, words: int, rule: Rule, short_list: int, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The shingle table of (doc_id, row, text), and node, component_id, keep_doc, keep_row, n_links of every node."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
-    rule = Rule(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = scratch.write(shingle_table(docs, words, rule), "table")
-    nodes = scratch.write(table.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nodes")
+    table, nodes, clashes = _nodes(docs, words, rule, scratch)
     # one row of each node, joined by both keys so that a node's copies spread; repeated rows fall to dropDuplicates
     firsts = nodes.select(F.col("node").alias("of"), F.col("doc_id").alias("first"))
     heads = table.where("n > 0").join(firsts, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "n", "head")
@@ -366,7 +429,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     posted = scratch.write(heads.mapInArrow(from_heads, _POSTED_SQL), "posted")
     rest = posted.where("not whole").select("node").join(nodes, "node").select("doc_id", "node")
-    again = _fetch_sets(docs, rest, words).mapInArrow(from_heads, _POSTED_SQL)
+    again = _fetch_sets(docs, rest, words, clashes).mapInArrow(from_heads, _POSTED_SQL)
     lists = scratch.write(posted.where("whole").unionByName(again), "lists")
     scratch.drop("heads", "posted")
 
@@ -379,11 +442,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     stars = long.join(F.broadcast(hubs), "token").select(F.col("node").alias("a"), "b")
     edges = scratch.write(merged.unionByName(stars).where("a <> b").distinct(), "edges")
     clusters = components(edges, scratch, "cluster").select("node", F.col("component").alias("cluster"))
-    clusters = scratch.write(clusters.join(nodes, "node"), "clusters")
+    clusters = scratch.write(clusters.join(nodes.select("node", "doc_id", "copies"), "node"), "clusters")
 
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").select("node", "cluster", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    placed = placed.join(_fetch_sets(docs, clusters.select("doc_id", "node"), words), "node")
+    placed = placed.join(_fetch_sets(docs, clusters.select("doc_id", "node"), words, clashes), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("cluster", "own", other, "node", "copies", "shingles").select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "copies", "shingles")
     dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
@@ -393,7 +456,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     joined = components(found.where("b is not null").select("a", "b"), scratch, "component")
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.join(joined, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.write(named.join(low, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    out = table.select("doc_id", "node", "n").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("keep"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = named.join(low, "component").select("node", "component_id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.row").alias("keep_row"), links)
+    return table, scratch.write(named, "named")

@@ -15,9 +15,11 @@ TASK_EDGES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; where it is unset (local tests), a temporary folder becomes it."""
+    """Folder of ``spark.checkpoint.dir``; where it is unset in local mode, a temporary folder becomes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sumwell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -112,9 +114,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     TASK_EDGES bounds.  If all edges fit one share, that is the result.  If
     not, large-star and small-star steps (Kiveris et al., 2014) alternate on
     the forests until nothing changes: each points nodes to their smallest
-    neighbour, so a hub never needs its neighbours in one place, minima are
-    combined before they are shuffled, and rounds grow with the logarithm of
-    the longest path.
+    neighbour, minima are combined before they are shuffled, and rounds grow
+    with the logarithm of the longest path.  The edges of a hub meet its
+    minimum in a join by its name, which adaptive execution splits.
     """
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     count = now.count()

@@ -23,6 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sumwell.llm.exact_dedup import free_name
 from sumwell.llm.scratch import Scratch
 
 #: Runs of words hashed per window, one of which is kept.
@@ -191,6 +192,15 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, scratch: Sc
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:
-    """The rows of ``docs``, all columns, without contaminated documents; cases as in :func:`contamination`."""
-    bad = contamination(docs, items, span).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs``, all columns, without those that hold a window of an item, however long they are.
+
+    A window is ``span`` words of an item, or a whole item of fewer words.
+    Rows are judged by their own text: one that shares its doc_id, or a null
+    doc_id, with a contaminated one stays if it holds no window.  Other cases
+    as in :func:`contamination`.
+    """
+    doc, text, key = (free_name(docs, f"winnow_{x}") for x in ("doc", "text", "key"))
+    bad = contaminated_texts(docs, items, span).select(F.col("doc_id").alias(doc), F.col("text_key").alias(text))
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    left = rows.join(bad, rows["doc_id"].eqNullSafe(bad[doc]) & (rows[key] == bad[text]), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

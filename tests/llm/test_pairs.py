@@ -24,7 +24,12 @@ def shingles(text, n):
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute_components(rows, n, num, den):
+def brute_roots(rows, n, num, den):
+    """The component of each row."""
+    return _brute(rows, n, num, den)[0]
+
+
+def _brute(rows, n, num, den):
     sets = [shingles(t, n) for _, t, *_ in rows]
     root = list(range(len(rows)))
 
@@ -41,11 +46,16 @@ def brute_components(rows, n, num, den):
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
+    return [find(k) for k in range(len(rows))], links, [len(x) for x in sets]
+
+
+def brute_components(rows, n, num, den):
+    of, links, sizes = _brute(rows, n, num, den)
     low = defaultdict(list)
     for k, r in enumerate(rows):
         if r[0] is not None:
-            low[find(k)].append(r[0])
-    return sorted(((r[0], len(sets[k]), min(low[find(k)], default=None), links[k]) for k, r in enumerate(rows)), key=str)
+            low[of[k]].append(r[0])
+    return sorted(((r[0], sizes[k], min(low[of[k]], default=None), links[k]) for k, r in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("n,num,den,short", [(4, 85, 100, 32), (5, 4, 5, 3), (2, 1, 2, 2)])
@@ -55,6 +65,22 @@ def test_jaccard_equals_brute_force(spark, n, num, den, short):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute_components(rows, n, num, den)
 
 
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    from sumwell.llm import jaccard_join
+
+    rows = hard_documents(4)[:70]
+    names = set()
+    whole = jaccard_join._set_hash
+    table, nodes, clashes = jaccard_join._nodes(documents(spark, rows).withColumn("row", F.lit(0).cast("long")).select("doc_id", "row", "text"), 4, Rule(85, 100), Scratch(spark, "t"))
+    assert not clashes and nodes.count() == table.where("n > 0").select("node").distinct().count()
+    for t in (r[1] for r in rows):
+        s = next(iter(shingle_sets([t], 4)))
+        a, b = whole(s)
+        names.add(jaccard_join._node(s, frozenset([a]))[0])
+        assert jaccard_join._node(s, frozenset()) == (a, b)
+    assert len(names) == len({whole(next(iter(shingle_sets([r[1]], 4)))) for r in rows})
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(documents(spark, []), 4, 85, 100).collect() == []
 
@@ -143,14 +169,22 @@ def test_contamination(spark, monkeypatch, limit):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, m string")
     got = contamination(documents(spark, rows, clash=True), bench).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got) == brute_contamination(rows, items, 13)
-    docs = documents(spark, rows)
-    bad = {r["doc_id"] for r in got if r["contaminated"]}
-    assert sorted(str(r["doc_id"]) for r in drop_contaminated(docs, bench).collect()) == sorted(str(r[0]) for r in rows if r[0] not in bad)
+    docs = documents(spark, rows, clash=True)
+    clean = [r for r in rows if not next(iter(brute_contamination([r], items, 13)))[2]]
+    left = drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(r[:2] for r in clean)
     assert contamination(documents(spark, []), bench).count() == 0
     none = contamination(documents(spark, rows), bench.limit(0))
     assert none.count() == len(rows) and none.where("contaminated or n_hit > 0").count() == 0
 
 
+def test_a_long_text_with_a_short_passage_goes(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    rows = [(1, "w " * 5000 + passage + " z" * 5000, None, None, None), (1, "another text with the same id", None, None, None), (None, passage, None, None, None), (None, "clean", None, None, None), (4, " ".join(passage.split()[:12]) + " x", None, None, None), (5, None, None, None, None)]
+    bench = spark.createDataFrame([(1, "q " * 40 + passage)], "item_id long, text string")
+    assert sorted(str(r["text"]) for r in drop_contaminated(documents(spark, rows), bench).collect()) == sorted(["another text with the same id", "clean", rows[4][1], "None"])
+
+
 def test_winnowing_thins_and_repeats(spark):
     rows = [(1, "a " * 400, None, None, None), (2, " ".join(f"u{k}" for k in range(3000)), None, None, None)]
     kept = winnow.fingerprints(winnow._split_words(documents(spark, rows), "doc_id"), 13, [13]).where("at >= 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("at").alias("d")).collect()
