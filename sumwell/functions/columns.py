@@ -35,6 +35,14 @@ def usable(df: DataFrame, numeric: Iterable[str] = (), keys: Iterable[str] = (),
     return out
 
 
+def free(base: str, taken: Iterable[str]) -> str:
+    """A name like ``base`` that is not among the taken ones, in any spelling."""
+    lower = {c.lower() for c in taken}
+    while base.lower() in lower:
+        base += "_"
+    return base
+
+
 def ordered_index(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Adds the rank (from 0) of each row in the order of ``keys``, without a global window.
 

@@ -61,7 +61,8 @@ def newton_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
         return np.linalg.solve(h + 1e-10 * np.eye(len(h)), g)
 
 
-def _iterate(beta, parts, max_iter, tol):
+def iterate(beta, parts, max_iter, tol):
+    """Newton steps of bounded size from ``beta`` until one is below ``tol``."""
     for _ in range(max_iter):
         g, h = parts(beta)
         step = newton_step(h, g)
@@ -86,14 +87,14 @@ def poisson_parts(x, n, s, beta):
 
 def logistic_newton(x, n, s, max_iter=100, tol=1e-10):
     """Maximum likelihood from successes s among n trials per design row."""
-    return _iterate(np.zeros(x.shape[1]), lambda b: logistic_parts(x, n, s, b), max_iter, tol)
+    return iterate(np.zeros(x.shape[1]), lambda b: logistic_parts(x, n, s, b), max_iter, tol)
 
 
 def poisson_newton(x, n, s, max_iter=100, tol=1e-10):
     """Maximum likelihood from sums s of n counts per design row; the first column is the intercept."""
     beta = np.zeros(x.shape[1])
     beta[0] = np.log(max(s.sum() / max(n.sum(), 1e-300), 1e-8))
-    return _iterate(beta, lambda b: poisson_parts(x, n, s, b), max_iter, tol)
+    return iterate(beta, lambda b: poisson_parts(x, n, s, b), max_iter, tol)
 
 
 def multinomial_parts(x, counts, flat):
@@ -114,7 +115,7 @@ def multinomial_parts(x, counts, flat):
 def multinomial_newton(x, counts, max_iter=100, tol=1e-10):
     """Coefficients (classes - 1, terms) relative to the last class, by joint Newton steps."""
     k, p = counts.shape[1] - 1, x.shape[1]
-    return _iterate(np.zeros(k * p), lambda b: multinomial_parts(x, counts, b), max_iter, tol).reshape(k, p)
+    return iterate(np.zeros(k * p), lambda b: multinomial_parts(x, counts, b), max_iter, tol).reshape(k, p)
 
 
 def gram_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:

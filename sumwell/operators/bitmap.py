@@ -18,7 +18,8 @@ from sumwell.functions.columns import col, ordered_index
 from sumwell.functions.solve import gram_solve, wls
 from sumwell.operators.base import Estimator, covariance
 from sumwell.operators.eventstudy import CellModel, effects
-from sumwell.sources.tables import TooManyRows, fetch, table
+from sumwell.plans.moments import weighted_draws
+from sumwell.sources.tables import fetch, table
 
 CHUNK_BITS = 64
 MAX_OUTCOME_VALUES = 64
@@ -173,11 +174,12 @@ class _Bitmap:
     def prepare_data(self) -> None:
         pass
 
+    def far(self) -> bool:
+        return self.panel.n_units * self.panel.n_times > MAX_PANEL_CELLS
+
     def panel_arrays(self):
         """y and w as (units, times), for draws on the driver."""
         p = self.panel
-        if p.n_units * p.n_times > MAX_PANEL_CELLS:
-            raise TooManyRows(f"a bootstrap holds the panel on the driver: more than {MAX_PANEL_CELLS} cells")
         g = fetch(p.rows.select("unit_index", "time_index", "y", "w", "cohort"), MAX_PANEL_CELLS)
         y, w, c = np.zeros((p.n_units, p.n_times)), np.zeros((p.n_units, p.n_times)), np.zeros(p.n_units, dtype=int)
         i, t = g["unit_index"].to_numpy(), g["time_index"].to_numpy()
@@ -205,11 +207,33 @@ class BitmapMundlak(_Bitmap, Estimator):
     def estimate(self) -> pd.Series:
         return pd.Series(self.solve(self.moments, self.panel.n_units), index=self.terms())
 
+    def far_moments(self, block: int = 25):
+        """The seven moments under hashed weights of the units, and the units drawn, by draw."""
+        x, v, wt = F.col("w").cast("double"), F.col("y"), F.col("_w")
+        units = self.panel.rows.groupBy("unit_index").agg(F.sum(x).alias("c"), F.sum(v).alias("s"), F.sum(x * v).alias("wy"))
+        for lo in range(0, self.n_bootstraps, block):
+            size = min(block, self.n_bootstraps - lo)
+            draw = lambda rows: weighted_draws(rows, ["unit_index"], size, self.seed or 0, lo)  # noqa: E731, B023
+            c, s = F.col("c"), F.col("s")
+            a = draw(units).groupBy("_draw").agg(F.sum(wt).alias("n"), F.sum(wt * c).alias("sum_w"), F.sum(wt * c * c).alias("sum_c2"), F.sum(wt * s).alias("sum_y"), F.sum(wt * F.col("wy")).alias("sum_wy"), F.sum(wt * c * s).alias("sum_cy"))
+            t = draw(self.panel.rows.select("unit_index", "time_index", "y", "w")).groupBy("_draw", "time_index").agg(F.sum(wt * x).alias("d"), F.sum(wt * v).alias("s"))
+            b = t.groupBy("_draw").agg(F.sum(F.col("d") * F.col("d")).alias("sum_d2"), F.sum(F.col("d") * s).alias("sum_dy"))
+            for r in a.join(b, "_draw").orderBy("_draw").collect():  # a row per draw
+                m = r.asDict()
+                yield {k: float(m[k]) for k in m if k.startswith("sum_")}, float(m["n"])
+
     def terms(self) -> list[str]:
         return ["Intercept", "W_it", "avg_W_it_unit", "avg_W_it_time"]
 
     def bootstrap(self) -> np.ndarray:
-        """Units drawn with replacement; time means follow the draw."""
+        """Units drawn with replacement; time means follow the draw.
+
+        A panel of more than MAX_PANEL_CELLS cells stays where it is, and its
+        units get hashed Poisson(1) weights.
+        """
+        if self.far():
+            self.draws = np.array([self.solve(m, n) for m, n in self.far_moments()])
+            return covariance(self.draws)
         y, w, _ = self.panel_arrays()
         n, draws = len(y), []
         c, sy, wy = w.sum(axis=1), y.sum(axis=1), (w * y).sum(axis=1)
@@ -237,7 +261,24 @@ class BitmapEventStudy(_Bitmap, CellModel):
         self.sums = fetch(cohort_time_sums(self.panel), self.max_rows).sort_values(["cohort", "time_index"], ignore_index=True)
         self.cells = self.frame(self.sums)
 
+    def far_draws(self, block: int = 25):
+        """Units and summed outcomes of each cell, by draw."""
+        for lo in range(0, self.n_bootstraps, block):
+            size = min(block, self.n_bootstraps - lo)
+            drawn = weighted_draws(self.panel.rows.select("unit_index", "time_index", "cohort", "y"), ["unit_index"], size, self.seed or 0, lo)
+            got = drawn.groupBy("_draw", "cohort", "time_index").agg(F.sum("_w").alias("n"), F.sum(F.col("y") * F.col("_w")).alias("s")).toPandas()  # block x cells
+            for k in range(lo, lo + size):
+                m = self.sums[["cohort", "time_index"]].merge(got[got["_draw"] == k], on=["cohort", "time_index"], how="left").fillna(0)
+                yield m["n"].to_numpy(dtype=float), m["s"].to_numpy(dtype=float)
+
     def bootstrap(self) -> dict[str, np.ndarray]:
+        if self.far():
+            draws = []
+            for count, s in self.far_draws():
+                ok = count > 0
+                draws.append(self.flat(effects(wls(self.matrix[ok], s[ok] / count[ok], count[ok]), self.names, self.cohorts, self.last)))
+            self.draws = np.array(draws)
+            return self.by_cohort(self.draws)
         y, _, cohort = self.panel_arrays()
         n, draws = len(y), []
         names = sorted(self.panel.cohorts)

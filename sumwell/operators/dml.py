@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.functions.columns import col, usable
+from sumwell.functions.columns import col, free, usable
 from sumwell.operators.base import Estimator, covariance, sandwich
-from sumwell.sources.tables import fetch
+from sumwell.plans.moments import weighted_draws
+from sumwell.sources.tables import TooManyRows, fetch
 
 
 class PartialOut(Estimator):
@@ -32,22 +33,25 @@ class PartialOut(Estimator):
 
     def _names(self) -> list[tuple[int, int, str]]:
         k = len(self.x)
-        return [(i, j, f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+        return [(i, j, free(f"c{i}_{j}", self.by)) for i in range(k + 1) for j in range(i, k + 1)]
+
+    @property
+    def count(self) -> str:
+        return free("count", self.by)
 
     def compress_data(self) -> None:
         v = [*self.x, self.y]
         n = F.count("*")
         products = [(F.covar_pop(col(v[i]), col(v[j])) * n).alias(name) for i, j, name in self._names()]
-        self.compressed = self.design.groupBy(*[col(c) for c in self.by]).agg(n.alias("count"), *[F.sum(col(c)).alias(f"s{k}") for k, c in enumerate(v)], *products).where("count > 1")
+        self.compressed = self.design.groupBy(*[col(c) for c in self.by]).agg(n.alias(self.count), *[F.sum(col(c)).alias(free(f"s{k}", self.by)) for k, c in enumerate(v)], *products).where(col(self.count) > 1).persist()
 
-    @staticmethod
-    def _factor() -> Column:
-        return F.pow(F.col("count") / (F.col("count") - 1), 2)
+    def _factor(self) -> Column:
+        return F.pow(col(self.count) / (col(self.count) - 1), 2)
 
     def _sums(self, weights: Column | None = None) -> np.ndarray:
         """Sum over strata of factor * weight * S."""
         w = self._factor() if weights is None else self._factor() * weights
-        row = self.compressed.agg(F.sum("count").alias("n"), *[F.sum(w * F.col(name)).alias(name) for _, _, name in self._names()]).first()
+        row = self.compressed.agg(F.sum(col(self.count)).alias("n"), *[F.sum(w * F.col(name)).alias(name) for _, _, name in self._names()]).first()
         self.n = int(row["n"] or 0)
         return self._square(row)
 
@@ -73,19 +77,27 @@ class PartialOut(Estimator):
         k, beta = len(self.x), self.point_estimate
         bread = np.linalg.pinv(self.total[:k, :k], hermitian=True)
         f = self._factor()
-        rss = F.col(f"c{k}_{k}")
+        name = {(i, j): c for i, j, c in self._names()}
+        rss = F.col(name[k, k])
         for i in range(k):
-            rss = rss - F.lit(2 * float(beta[i])) * F.col(f"c{i}_{k}")
+            rss = rss - F.lit(2 * float(beta[i])) * F.col(name[i, k])
             for j in range(k):
-                rss = rss + F.lit(float(beta[i] * beta[j])) * F.col(f"c{min(i, j)}_{max(i, j)}")
-        m = self._sums(f * rss / F.col("count"))[:k, :k]
+                rss = rss + F.lit(float(beta[i] * beta[j])) * F.col(name[min(i, j), max(i, j)])
+        m = self._sums(f * rss / col(self.count))[:k, :k]
         self.vcov = sandwich(bread, m) * self.n / (self.n - k)
         return self.vcov
 
     def bootstrap(self) -> np.ndarray:
-        """Strata drawn with replacement."""
-        g = fetch(self.compressed, self.max_rows).sort_values(self.by, kind="stable")
-        f = (g["count"] / (g["count"] - 1)).to_numpy() ** 2
+        """Strata drawn with replacement; more than ``max_rows`` get Poisson(1) weights hashed from their keys, where they are."""
+        try:
+            g = fetch(self.compressed, self.max_rows).sort_values(self.by, kind="stable")
+        except TooManyRows:
+            w = self._factor() * F.col("_w")
+            drawn = weighted_draws(self.compressed, self.by, self.n_bootstraps, self.seed or 0)
+            sums = drawn.groupBy("_draw").agg(*[F.sum(w * F.col(name)).alias(name) for _, _, name in self._names()])
+            self.draws = np.array([self._solve(self._square(r)) for r in sums.orderBy("_draw").collect()])  # a row per draw
+            return covariance(self.draws[np.isfinite(self.draws).all(axis=1)])
+        f = (g[self.count] / (g[self.count] - 1)).to_numpy() ** 2
         rows = g[[name for _, _, name in self._names()]].to_numpy() * f[:, None]
         out = []
         for _ in range(self.n_bootstraps):
@@ -100,6 +112,6 @@ class PartialOut(Estimator):
 
 def leave_one_out_residuals(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Each column less the mean of the other rows of its stratum, as loo_{column}; singletons drop out."""
-    groups = df.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_n"), *[F.avg(col(c)).alias(f"_a{k}") for k, c in enumerate(columns)]).where("_n > 1")
+    groups = df.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_n"), *[F.avg(col(c)).alias(f"_a{k}") for k, c in enumerate(columns)]).where(F.col("_n") > 1)
     out = df.join(groups, list(by))
     return out.select(*[col(c) for c in df.columns], *[((col(c) - F.col(f"_a{k}")) * F.col("_n") / (F.col("_n") - 1)).alias(f"loo_{c}") for k, c in enumerate(columns)])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sumwell.functions.columns import col, usable
 from sumwell.functions.solve import wls
 from sumwell.operators.base import Estimator, covariance
-from sumwell.sources.tables import fetch
+from sumwell.plans.moments import weighted_draws
+from sumwell.sources.tables import TooManyRows, fetch
 
 
 def with_cohort(df: DataFrame, unit: str, time: str, treatment: str) -> DataFrame:
@@ -116,8 +117,15 @@ class EventStudy(CellModel):
         self.cells = fetch(self.compressed, self.max_rows).sort_values(["cohort", "time", "w"], ignore_index=True)
 
     def bootstrap(self) -> dict[str, np.ndarray]:
-        """Clusters drawn with replacement: one aggregation by cluster and cell, draws on the driver."""
-        g = fetch(self.design.groupBy("cluster", "cohort", "time", "w").agg(F.count("*").alias("n"), F.sum("y").alias("s")), self.max_rows)
+        """Clusters drawn with replacement: one aggregation by cluster and cell, draws on the driver.
+
+        More than ``max_rows`` of these get Poisson(1) weights hashed from the
+        cluster, and are summed by cell where they are.
+        """
+        try:
+            g = fetch(self.design.groupBy("cluster", "cohort", "time", "w").agg(F.count("*").alias("n"), F.sum("y").alias("s")), self.max_rows)
+        except TooManyRows:
+            return self._far_bootstrap()
         key = {k: i for i, k in enumerate(zip(self.cells["cohort"].fillna(-1), self.cells["time"], self.cells["w"], strict=True))}
         cell = np.array([key[k] for k in zip(g["cohort"].fillna(-1), g["time"], g["w"], strict=True)])
         code, names = pd.factorize(g["cluster"], sort=True)
@@ -131,3 +139,20 @@ class EventStudy(CellModel):
             draws.append(self.flat(effects(beta, self.names, self.cohorts, self.last)))
         self.draws = np.array(draws)
         return self.by_cohort(self.draws)
+
+    def _far_bootstrap(self, block: int = 25) -> dict[str, np.ndarray]:
+        by = self.design.groupBy("cluster", "cohort", "time", "w").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+        cells = self.cells.assign(cohort=self.cells["cohort"].fillna(-1))[["cohort", "time", "w"]]
+        draws = []
+        for lo in range(0, self.n_bootstraps, block):
+            size = min(block, self.n_bootstraps - lo)
+            drawn = weighted_draws(by, ["cluster"], size, self.seed or 0, lo)
+            sums = drawn.groupBy("_draw", "cohort", "time", "w").agg(F.sum(F.col("n") * F.col("_w")).alias("n"), F.sum(F.col("s") * F.col("_w")).alias("s")).toPandas()  # block x cells
+            sums["cohort"] = sums["cohort"].fillna(-1)
+            for k in range(lo, lo + size):
+                m = cells.merge(sums[sums["_draw"] == k], on=["cohort", "time", "w"], how="left").fillna(0)
+                n, total = m["n"].to_numpy(dtype=float), m["s"].to_numpy(dtype=float)
+                ok = n > 0
+                draws.append(self.flat(effects(wls(self.matrix[ok], total[ok] / n[ok], n[ok]), self.names, self.cohorts, self.last)))
+        self.draws = np.array(draws)
+        return self.by_cohort(self.draws)

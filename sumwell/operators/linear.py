@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwell.functions.columns import col, usable
+from sumwell.functions.columns import col, free, usable
 from sumwell.functions.formula import parse
 from sumwell.functions.solve import gram_solve, wls
 from sumwell.operators.base import Estimator, covariance, sandwich
-from sumwell.plans.compress import strata
+from sumwell.plans.compress import stat_names, strata
 from sumwell.plans.moments import ClusterMoments, Moments, centred_moments, poisson_weight, score_products
 from sumwell.sources.tables import TooManyRows, fetch
 
@@ -31,13 +31,13 @@ class LeastSquares(Estimator):
     compressible = True
 
     def compress_data(self) -> None:
-        self.compressed = strata(self.design, self.x, self.y)
+        self.compressed, self.stats = strata(self.design, self.x, self.y), stat_names(list(dict.fromkeys(self.x)), self.y)
         self.groups = self.moments = None
         if self.compressible:
             try:
                 g = fetch(self.compressed, self.max_rows)
                 self.groups = g.sort_values(self.x, kind="stable", ignore_index=True) if self.x else g
-                self.n = int(g["count"].sum())
+                self.n = int(g[self.stats[0]].sum())
             except TooManyRows:
                 pass
         if self.groups is None:
@@ -48,14 +48,14 @@ class LeastSquares(Estimator):
         return np.column_stack([np.ones(len(self.groups)), *[self.groups[c].to_numpy(dtype=float) for c in self.x]])
 
     def counts(self) -> np.ndarray:
-        return self.groups["count"].to_numpy(dtype=float)
+        return self.groups[self.stats[0]].to_numpy(dtype=float)
 
     def sums(self, square: bool = False) -> np.ndarray:
-        return np.column_stack([self.groups[f"sum_{y}" + "_sq" * square].to_numpy(dtype=float) for y in self.y])
+        return np.column_stack([self.groups[c].to_numpy(dtype=float) for c in self.stats[2 if square else 1]])
 
     def mean_frame(self):
         """The compressed table with the mean of each outcome."""
-        return self.groups.assign(**{f"mean_{y}": self.groups[f"sum_{y}"] / self.groups["count"] for y in self.y})
+        return self.groups.assign(**{free(f"mean_{y}", self.groups.columns): self.groups[s] / self.groups[self.stats[0]] for y, s in zip(self.y, self.stats[1], strict=True)})
 
     def coefficients(self) -> np.ndarray:
         """(1 + regressors, outcomes)."""
@@ -87,6 +87,9 @@ class LeastSquares(Estimator):
         if self.point_estimate is None:
             raise RuntimeError("fit() first")
         p, m = 1 + len(self.x), len(self.y)
+        if self.n == 0:
+            self.vcov = np.full((p * m, p * m), np.nan)
+            return self.vcov
         beta, bread = self.point_estimate.reshape(p, m), self.bread()
         out = np.zeros((p * m, p * m))
         clusters = self.cluster_moments() if kind == "CR1" else None

@@ -13,8 +13,8 @@ from sumwell.functions.columns import col, ordered_index, usable
 from sumwell.functions.formula import parse
 from sumwell.functions.solve import ridge_closed_form, ridge_closed_form_batch
 from sumwell.operators.base import Estimator
-from sumwell.plans.compress import strata
-from sumwell.sources.tables import fetch
+from sumwell.plans.compress import stat_names, strata
+from sumwell.sources.tables import TooManyRows, fetch
 
 
 def fold_column(df: DataFrame, key: str, k: int, how: str = "hash", seed: int = 42) -> DataFrame:
@@ -32,7 +32,8 @@ class Ridge(Estimator):
     ``fit`` selects the penalty: by cross-validation with more than one fold
     (``selection="cv"``), as the middle of the grid (``"path"``), or the first.
     Cross-validation compares means of compressed rows; within-group variance
-    is missing from the scores and is the same for all penalties.
+    is missing from the scores and is the same for all penalties.  More than
+    ``max_rows`` compressed rows are summed to products by fold where they are.
     """
 
     def __init__(self, source, formula: str, lambda_grid: Sequence[float] | None = None, cv_folds: int = 5, *, selection: str = "cv", penalize_intercept: bool = True, fold_key: str | None = None, folds: str = "hash", **options):
@@ -59,20 +60,58 @@ class Ridge(Estimator):
 
     def compress_data(self) -> None:
         self.compressed = strata(self.design, self.x, [self.y], ["fold_id"] if self._use_cv() else [])
-        g = fetch(self.compressed, self.max_rows)
+        self.stats = stat_names(list(dict.fromkeys([*self.x, *(["fold_id"] if self._use_cv() else [])])), [self.y])
+        try:
+            g = fetch(self.compressed, self.max_rows)
+        except TooManyRows:
+            self.groups = None
+            self.products = self._products()
+            return
         self.groups = g.sort_values([*self.x, *(["fold_id"] if self._use_cv() else [])], kind="stable", ignore_index=True) if len(g.columns) > 3 else g
 
     def _arrays(self, g: pd.DataFrame):
         x = np.column_stack([np.ones(len(g)), *[g[c].to_numpy(dtype=float) for c in self.x]])
-        n = g["count"].to_numpy(dtype=float)
-        return x, g[f"sum_{self.y}"].to_numpy(dtype=float) / n, n
+        n = g[self.stats[0]].to_numpy(dtype=float)
+        return x, g[self.stats[1][0]].to_numpy(dtype=float) / n, n
+
+    def _products(self) -> dict[int, tuple[np.ndarray, np.ndarray, float, float]]:
+        """By fold: X'NX, X's, the sum of s^2 / n, and n, summed where the compressed rows are."""
+        z, n, s = [F.lit(1.0), *[col(c) for c in self.x]], col(self.stats[0]), col(self.stats[1][0])
+        k = len(z)
+        fold = F.col("fold_id") if self._use_cv() else F.lit(0)
+        rows = self.compressed.select(fold.alias("_f"), n.cast("double").alias("_n"), s.alias("_s"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+        at = lambda i: F.col(f"_z{i}")
+        sums = [F.sum(F.col("_n") * at(i) * at(j)).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(F.col("_s") * at(i)).alias(f"b{i}") for i in range(k)]
+        out = {}
+        for r in rows.groupBy("_f").agg(*sums, F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("q"), F.sum("_n").alias("n")).collect():  # a row per fold
+            out[r["_f"]] = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]), np.array([r[f"b{i}"] for i in range(k)]), r["q"], r["n"]
+        return out
+
+    def _far_path(self, folds) -> np.ndarray:
+        a, b = (sum((self.products[f][k] for f in folds), 0.0) for k in (0, 1))
+        return np.array([np.linalg.lstsq(a + lam * np.diag(self.penalize), b, rcond=None)[0] for lam in self.lambda_grid])
+
+    def _far_cv(self) -> np.ndarray:
+        total = np.zeros(len(self.lambda_grid))
+        for f, (a, b, q, n) in self.products.items():
+            rest = [g for g in self.products if g != f]
+            if rest:
+                path = self._far_path(rest)
+                total += (q - 2 * path @ b + np.einsum("li,ij,lj->l", path, a, path)) / n
+        return total / self.cv_folds
 
     def fit_lambda_path(self) -> np.ndarray:
+        if self.groups is None:
+            self.lambda_path_coefs = self._far_path(self.products)
+            return self.lambda_path_coefs
         self.lambda_path_coefs = ridge_closed_form_batch(*self._arrays(self.groups), self.lambda_grid, self.penalize)
         return self.lambda_path_coefs
 
     def cross_validate(self) -> np.ndarray:
         """Mean over folds of the weighted squared error of held-out means, per penalty; an empty fold adds 0."""
+        if self.groups is None:
+            self.cv_scores = self._far_cv()
+            return self.cv_scores
         total = np.zeros(len(self.lambda_grid))
         for k in range(self.cv_folds):
             held = self.groups["fold_id"] == k
@@ -90,6 +129,8 @@ class Ridge(Estimator):
             self.best_lambda = float(self.lambda_grid[int(np.argmin(self.cross_validate()))])
         else:
             self.best_lambda = float(self.lambda_grid[len(self.lambda_grid) // 2 if self.selection == "path" else 0])
+        if self.groups is None:
+            return self.lambda_path_coefs[int(np.flatnonzero(self.lambda_grid == self.best_lambda)[0])]
         return ridge_closed_form(*self._arrays(self.groups), self.best_lambda, self.penalize)
 
     def terms(self) -> list[str]:

@@ -153,5 +153,12 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     return out.cast("double")
 
 
+def weighted_draws(rows: DataFrame, keys: Sequence[str], count: int, seed: int, first: int = 0) -> DataFrame:
+    """The rows once per draw from ``first`` on, with the number of the draw as _draw and a Poisson(1) weight hashed from keys and draw as _w."""
+    drawn = rows.withColumn("_draw", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
+    u = (F.xxhash64(*[col(k) for k in keys], "_draw", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
+    return drawn.withColumn("_w", poisson_weight(u))
+
+
 def tidy(terms: Sequence[str], estimate: np.ndarray, se: np.ndarray | None) -> pd.DataFrame:
     return pd.DataFrame({"term": list(terms), "estimate": np.ravel(estimate), "se": np.full(len(terms), np.nan) if se is None else np.ravel(se)})

@@ -396,6 +396,57 @@ _MUNDLAK2 = f"""WITH {_PANEL}, f AS (SELECT Y_it AS y, W_it AS w, avg(W_it) OVER
     SELECT '{{0}}' AS term, round(my - mw * br - mw * (bp - br) - mw * (bq - br), 6) AS estimate FROM b, g
     UNION ALL SELECT '{{1}}', round(br, 6) FROM b UNION ALL SELECT '{{2}}', round(bp - br, 6) FROM b UNION ALL SELECT '{{3}}', round(bq - br, 6) FROM b"""
 
+
+
+def _det(m: list[list[str]]) -> str:
+    return " + ".join(f"{m[0][i]} * ({m[1][j]} * {m[2][k]} - {m[1][k]} * {m[2][j]})" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+
+def _solve3(m: list[list[str]], v: list[str]) -> list[str]:
+    """Three unknowns by Cramer's rule."""
+    return [f"({_det([[v[r] if c == k else m[r][c] for c in range(3)] for r in range(3)])}) / ({_det(m)})" for k in range(3)]
+
+
+def _logit() -> str:
+    """Newton steps for done ~ priority + month on its patterns, and errors from scores per observation."""
+    z, ij = ["1.0", "priority", "month"], [(i, j) for i in range(3) for j in range(i, 3)]
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    steps = _solve3(h, ["u0", "u1", "u2"])
+    sums = ", ".join([*[f"sum((s - n * p) * {z[i]}) AS u{i}" for i in range(3)], *[f"sum(n * p * (1 - p) * {z[i]} * {z[j]}) AS h{i}{j}" for i, j in ij]])
+    meat = ", ".join(f"sum((s - 2 * p * s + n * p * p) * {z[i]} * {z[j]}) AS m{i}{j}" for i, j in ij)
+    m = [[f"m{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    inverse = ", ".join(f"{x} AS i{k}{c}" for c in range(3) for k, x in enumerate(_solve3(h, ["1.0" if r == c else "0.0" for r in range(3)])))
+    var = [" + ".join(f"i{k}{a} * {m[a][b]} * i{k}{b}" for a in range(3) for b in range(3)) for k in range(3)]
+    at = "1 / (1 + exp(-(b0 + b1 * priority + b2 * month)))"
+    out = " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{k}, 6) AS estimate, round(sqrt({var[k]}), 6) AS se FROM f, inv" for k, t in enumerate(("Intercept", "priority", "month")))
+    return f"""WITH RECURSIVE {_ORDERS}, g AS (SELECT CAST(priority AS DOUBLE) AS priority, CAST(month AS DOUBLE) AS month, CAST(count(*) AS DOUBLE) AS n, CAST(sum(done) AS DOUBLE) AS s FROM o GROUP BY 1, 2),
+        it AS (SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+               UNION ALL SELECT step + 1, b0 + {steps[0]}, b1 + {steps[1]}, b2 + {steps[2]}
+               FROM (SELECT step, b0, b1, b2, {sums} FROM (SELECT it.*, g.*, {at} AS p FROM it, g WHERE step < 12) GROUP BY step, b0, b1, b2)),
+        f AS (SELECT b0, b1, b2, {sums}, {meat} FROM (SELECT it.*, g.*, {at} AS p FROM it, g WHERE step = 12) GROUP BY b0, b1, b2),
+        inv AS (SELECT {inverse} FROM f) {out}"""
+
+
+def _label_poisson() -> str:
+    """Newton steps for each label's counts on the line number."""
+    mu = "n * exp(b0 + b1 * x)"
+    return f"""WITH RECURSIVE g AS (SELECT l_returnflag AS label, CAST(l_linenumber AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_quantity) AS DOUBLE) AS s FROM lineitem GROUP BY 1, 2),
+        it AS (SELECT 0 AS step, label, ln(sum(s) / sum(n)) AS b0, 0.0::DOUBLE AS b1 FROM g GROUP BY label
+               UNION ALL SELECT step + 1, label, b0 + (hxx * u0 - hx * ux) / (h * hxx - hx * hx), b1 + (h * ux - hx * u0) / (h * hxx - hx * hx)
+               FROM (SELECT step, label, b0, b1, sum(s - m) AS u0, sum((s - m) * x) AS ux, sum(m) AS h, sum(m * x) AS hx, sum(m * x * x) AS hxx
+                     FROM (SELECT step, it.label, b0, b1, x, s, {mu} AS m FROM it JOIN g ON it.label = g.label WHERE step < 12) GROUP BY step, label, b0, b1))
+        SELECT label || ':Intercept' AS term, round(b0, 6) + 0.0 AS estimate FROM it WHERE step = 12 UNION ALL SELECT label || ':l_linenumber', round(b1, 6) + 0.0 FROM it WHERE step = 12"""
+
+
+def _ridge_path() -> str:
+    """(X'X + lambda I) b = X'y for each penalty."""
+    m = [["n + lam", "q", "d"], ["q", "qq + lam", "qd"], ["d", "qd", "dd + lam"]]
+    b = _solve3([[f"({x})" for x in r] for r in m], ["p", "qp", "dp"])
+    return f"""WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, fsum(l_quantity) AS q, fsum(l_discount) AS d, fsum(l_quantity * l_quantity) AS qq, fsum(l_quantity * l_discount) AS qd, fsum(l_discount * l_discount) AS dd,
+            fsum(l_extendedprice) AS p, fsum(l_quantity * l_extendedprice) AS qp, fsum(l_discount * l_extendedprice) AS dp FROM lineitem), l AS (SELECT pow(10.0, k) AS lam FROM range(-2, 5) t(k))
+        SELECT round({b[0]}, 6) AS "Intercept", round({b[1]}, 6) AS l_quantity, round({b[2]}, 6) AS l_discount, round(lam, 6) AS lambda FROM s, l"""
+
+
 ORACLES = {
     "ols_strata": """SELECT l_quantity, l_discount, count(*) AS count, round(sum(l_extendedprice), 2) AS sum_l_extendedprice, round(sum(l_extendedprice * l_extendedprice) / 1e6, 3) AS sum_sq_millions FROM lineitem GROUP BY 1, 2""",
     "ols_simple": f"WITH {_SIMPLE} SELECT 'Intercept' AS term, round(a, 5) AS estimate FROM s UNION ALL SELECT 'l_quantity', round(b, 5) FROM s",
@@ -438,6 +489,11 @@ ORACLES = {
         SELECT 'Intercept' AS term, round(a.z, 6) AS estimate FROM a UNION ALL SELECT 'en', round(b.z - a.z, 6) FROM a, b""",
     "poisson_one_regressor": f"""WITH {_PANEL}, a AS (SELECT ln(avg(Y_it)) AS z FROM panel WHERE W_it = 0), b AS (SELECT ln(avg(Y_it)) AS z FROM panel WHERE W_it = 1)
         SELECT 'Intercept' AS term, round(a.z, 6) AS estimate FROM a UNION ALL SELECT 'W_it', round(b.z - a.z, 6) FROM a, b""",
+    "poisson": f"""WITH {_PANEL}, a AS (SELECT ln(avg(Y_it)) AS z FROM panel WHERE W_it = 0), b AS (SELECT ln(avg(Y_it)) AS z FROM panel WHERE W_it = 1)
+        SELECT 'Intercept' AS term, round(a.z, 6) AS estimate, 0.0::DOUBLE AS se FROM a UNION ALL SELECT 'W_it', round(b.z - a.z, 6), 0.0 FROM a, b""",  # two patterns, two terms: their scores are 0
+    "logit": _logit(),
+    "label_poisson": _label_poisson(),
+    "ridge_path": _ridge_path(),
     "multinomial_strata": f"WITH {_ORDERS} SELECT CAST(priority AS DOUBLE) AS priority, count(*) FILTER (o_orderstatus = 'F') AS class_0, count(*) FILTER (o_orderstatus = 'O') AS class_1, count(*) FILTER (o_orderstatus = 'P') AS class_2 FROM o GROUP BY 1",
     "label_poisson_strata": "SELECT l_returnflag, CAST(l_linenumber AS DOUBLE) AS l_linenumber, count(*) AS rows, round(sum(l_quantity), 3) AS sum_y FROM lineitem GROUP BY 1, 2",
     "ridge_one": """WITH s AS (SELECT covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 1000.0) AS b, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sumwell.functions.columns import usable
 from sumwell.functions.formula import parse
 from sumwell.functions.solve import wls
-from sumwell.plans.compress import strata
+from sumwell.plans.compress import stat_names, strata
 from sumwell.sources.tables import fetch
 
 
@@ -26,8 +26,9 @@ def coefficients(groups: pd.DataFrame, formula: str) -> pd.DataFrame:
     """term and a column of estimates per outcome."""
     f = parse(formula)
     x = np.column_stack([np.ones(len(groups)), *[groups[c].to_numpy(dtype=float) for c in f.covariates]])
-    n = groups["count"].to_numpy(dtype=float)
-    y = np.column_stack([groups[f"sum_{o}"].to_numpy(dtype=float) / n for o in f.outcomes])
+    count, sums, _ = stat_names(f.covariates, f.outcomes)
+    n = groups[count].to_numpy(dtype=float)
+    y = np.column_stack([groups[s].to_numpy(dtype=float) / n for s in sums])
     return pd.DataFrame(wls(x, y, n), columns=list(f.outcomes)).assign(term=["Intercept", *f.covariates])
 
 
