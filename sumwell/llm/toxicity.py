@@ -11,7 +11,8 @@ significance of its best passage and by that of all passages together, and a
 logistic curve over the two, fitted on the same labelled texts, is its score.
 
 Labels of at most MAX_LABELLED texts, a pseudo-random choice by doc_id, are
-learned from; weights are looked up for all tokens of all texts.
+learned from, which bounds the weighted tokens too; weights are looked up for
+all tokens of all texts.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from sumwell.llm.text import END_HASH, encoded, mix, word_edges, word_slices
 
 #: Labelled texts that the model is fitted on, at most.
 MAX_LABELLED = 20_000
-#: Weighted tokens, at most; those of the highest |z| are taken.
-MAX_TOKENS = 50_000
 #: Significance of a token's log-odds.
 LEAST_Z = 4.0
 #: Log-odds that a weighted token has at least: weaker ones add up in long texts of any kind.
@@ -107,7 +106,7 @@ def token_weights(counts: DataFrame) -> Weights:
     y_t, y_o = F.col("toxic") + a, F.col("other") + a
     odds = F.log(y_t / (F.lit(n_t + prior) - y_t)) - F.log(y_o / (F.lit(n_o + prior) - y_o))
     z = odds / F.sqrt(1 / y_t + 1 / y_o)
-    picked = counts.select("token", "toxic", "other", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).toPandas().sort_values("token")
+    picked = counts.select("token", "toxic", "other", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).toPandas().sort_values("token")
     rest_t, rest_o = n_t - picked["toxic"].sum(), n_o - picked["other"].sum()
     rest = min(-1e-4, float(np.log((rest_t + prior * 0.5) / (n_t + prior)) - np.log((rest_o + prior * 0.5) / (n_o + prior))))
     tokens = picked["token"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -210,7 +209,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_from: Column, thre
     lam = weights.slope
     best = F.coalesce(F.array_max(F.transform("passages", lambda p: p["score"])), F.lit(0.0))
     mine = found.join(F.broadcast(docs.sparkSession.createDataFrame(sample.astype({"doc_id": "int64", "label": "int64"}), "doc_id long, label long")), "doc_id").select("doc_id", "label", "n_tokens", best.alias("best"), F.transform("passages", lambda p: p["score"]).alias("all"))
-    fit = mine.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # a row per sampled document
+    fit = mine.groupBy("doc_id", "label").agg(F.max(F.struct("best", "n_tokens", "all")).alias("f")).select("doc_id", "label", "f.*").orderBy("doc_id").toPandas()  # a row per sampled document
     k = 0.1
     other = fit[(fit["label"] == 0) & (fit["best"] > 0)]
     if len(other) >= 20:  # K: expected number of passages at the median of the observed maxima
