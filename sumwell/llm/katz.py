@@ -1,21 +1,23 @@
-"""Language-model scoring with a Katz backoff model.
-
-A token's probability is taken in two factors: that of its class given the
-class before, and that of the token within its class.  Each of the CLASSES
-most frequent tokens is a class of its own; all other tokens, seen or not,
-are one more class.  Within that class tokens have their discounted share.
+"""Language-model scoring with a Katz backoff model over token pairs.
 
 Counts are discounted by Good-Turing: seen c times counts as d(c) * c, for c
-up to CUTOFF.  The mass that this frees in a context goes to the classes that
+up to CUTOFF.  The mass that this frees in a context goes to the tokens that
 did not follow it, in proportion to their own probability; the backoff weight
 is the quotient of exactly these two sums, so that probabilities add up to one
 in every context.  Single tokens back off to one unseen token in the same way.
-
-Counts are kept in tables partitioned by order.  Evaluation goes down the
-orders per token: the pair if it was seen, else weight times the class, else
-the unseen token.  The most frequent tokens and pairs, a fixed number of them,
-are looked up where the text is; the others go to the partition of the table
-that holds them.
+A context whose counts are all above the cutoff frees one part in n + 1.
+
+Every token of the training texts has counts of its own, as itself and as the
+context of others, in tables partitioned by order.  Evaluation goes down the
+orders per token: the pair if it was seen, else the context's weight times the
+token, else the unseen token.  A text's score is therefore the sum of what it
+gets from single tokens and weights, plus, for each seen pair, what the pair
+gains over backing off; the parts come from different tables and add up.
+
+The most frequent tokens and pairs, a fixed number of them, are looked up where
+the text is.  A training text's pair that is not marked as repeated in a filter
+of fixed size was seen once.  All other tokens and pairs go to the partition of
+the table that holds them.
 """
 
 from __future__ import annotations
@@ -28,19 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwell.llm.scratch import Scratch, most_frequent
-from sumwell.llm.text import END_HASH, word_slices
+from sumwell.llm.text import END_HASH, mix, word_slices
 
-#: Tokens with a class of their own; contexts are as many.
-CLASSES = 1 << 13
-#: Tokens and pairs that are looked up locally, at most.
+#: Tokens that are looked up locally, at most.
 LOCAL = 1 << 18
+#: Pairs that are looked up locally, as a multiple of that.
+PAIRS = 4
+#: Bits of the filter of repeated pairs are 2 to this.
+FILTER_BITS = 26
 #: Training tokens whose counts are combined in a task before they are shuffled.
 COMBINE = 2_000_000
 #: Lookups that a task holds before it sends them.
 SEND = 200_000
 #: Counts above this are not discounted.
 CUTOFF = 5
-_SHIFT = 20
+#: Stands for the context of a text's first token.
+START_HASH = mix(np.array([0x57A27], dtype=np.uint64))[0]
 
 
 def _with_ends(texts) -> "tuple":
@@ -51,7 +56,7 @@ def _with_ends(texts) -> "tuple":
         yield lo, hi, tokens, off + np.arange(len(off))
 
 
-def good_turing(n: list[int], total_kinds: int, cutoff: int = CUTOFF) -> list[float]:
+def good_turing(n: list[int], cutoff: int = CUTOFF) -> list[float]:
     """Discount factors d(1) to d(cutoff), from n[c] = number of kinds seen c times.
 
     Katz' form, which leaves counts above the cutoff alone and frees n(1) in
@@ -80,73 +85,79 @@ def counts_of_counts(table: DataFrame, cutoff: int = CUTOFF) -> list[int]:
 
 @dataclass
 class Lookup:
-    """What every task holds: frequent tokens, their classes, contexts and frequent pairs.  Sizes are bounded."""
+    """What every task holds of frequent tokens, contexts and pairs.  Sizes are bounded."""
 
-    k: int  # classes of single tokens; k is the common class, k + 1 the context of a first token
-    tokens: np.ndarray  # sorted hashes
+    tokens: np.ndarray  # sorted hashes, with that of the start
     counts: np.ndarray
-    classes: np.ndarray  # class of each
     all_tokens: bool  # no token was seen beyond these
-    class_log: np.ndarray  # log10 P(class)
-    rest: float  # log10 P(common class)
     n: int
     v: int
     discounts: list[float]
-    unseen: float  # P(unseen token)
-    context_log: np.ndarray | None = None  # log10 of the backoff weight, by context class
-    context_count: np.ndarray | None = None
-    scale_log: np.ndarray | None = None
-    pairs: np.ndarray | None = None  # sorted
-    pair_log: np.ndarray | None = None  # log10 P(class | context)
+    keep: float  # share of the discounted mass that single tokens keep
+    unseen: float  # log10 P(unseen token)
+    token_log: np.ndarray  # log10 P(token)
+    weight_log: np.ndarray | None = None  # log10 of the backoff weight of each token as a context
+    total_log: np.ndarray | None = None  # log10 of its count as a context
+    pairs: np.ndarray | None = None  # sorted keys
+    gains: np.ndarray | None = None
     all_pairs: bool = False
     pair_discounts: list[float] | None = None
+    repeated: np.ndarray | None = None  # the filter
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the tokens, and whether they are there."""
-        if not len(self.tokens):
-            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
         at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
         return at, self.tokens[at] == hashes
 
-    def own(self, c: np.ndarray) -> np.ndarray:
-        """P(token) by its training count."""
-        c = np.asarray(c, dtype=float)
-        d = np.ones(len(c))
-        for k, x in enumerate(self.discounts, 1):
-            d[c == k] = x
-        return np.where(c > 0, d * c / max(1, self.n), self.unseen)
 
-    def class_of(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-        return np.where(there, self.classes[at] if len(self.classes) else self.k, self.k)
+def _discounted(c: np.ndarray, discounts: list[float]) -> np.ndarray:
+    return np.asarray(c, dtype=float) * np.concatenate(([1.0], discounts, [1.0]))[np.minimum(c, len(discounts) + 1)]
+
+
+def _discounted_column(c: str, discounts: list[float]) -> Column:
+    d = F.lit(1.0)
+    for k, x in enumerate(discounts, 1):
+        d = F.when(F.col(c) == k, F.lit(float(x))).otherwise(d)
+    return d * F.col(c)
+
+
+def _contexts(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The token before each token; every text has one token at least."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[off[:-1]] = START_HASH
+    return before
+
+
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (u << np.uint64(23) | u >> np.uint64(41)) ^ w
+
 
-    def pair_keys(self, classes: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Key of each token's (context, class); the context of a first token is the start."""
-        before = np.empty(len(classes), dtype=np.int64)
-        before[1:] = classes[:-1]
-        before[off[:-1][off[:-1] < len(classes)]] = self.k + 1
-        return (before << _SHIFT) | classes
+def _pair_key() -> Column:
+    """The same of columns u and w."""
+    return F.shiftleft("u", 23).bitwiseOR(F.shiftrightunsigned("u", 41)).bitwiseXOR(F.col("w"))
 
 
-def _training_counts(docs: DataFrame, kind: str, given=None) -> DataFrame:
-    """key, c over the training texts: token hashes, or pairs of classes; combined per batch before they are shuffled."""
-    schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+def _training_counts(docs: DataFrame, order: int) -> DataFrame:
+    """w, c or u, w, c over the training texts, combined in tasks before they are shuffled."""
+    names = ["w"] if order == 1 else ["u", "w"]
+    schema = pa.schema([(x, pa.int64()) for x in [*names, "c"]])
 
     def run(batches):
-        look = given.value if given is not None else None
         parts, size = [], 0
 
         def out():
-            keys = np.sort(np.concatenate(parts))
-            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-            return pa.RecordBatch.from_arrays([pa.array(keys[edge[:-1]]), pa.array(np.diff(edge))], schema=schema)
+            keys = [np.concatenate(k) for k in zip(*parts, strict=True)]
+            at = np.lexsort(keys[::-1]) if order > 1 else np.argsort(keys[0])
+            keys = [k[at] for k in keys]
+            new = np.ones(len(at) + 1, dtype=bool)
+            new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edge = np.flatnonzero(new)
+            return pa.RecordBatch.from_arrays([*[pa.array(k[edge[:-1]].view(np.int64)) for k in keys], pa.array(np.diff(edge))], schema=schema)
 
         for b in batches:
             for _, _, tokens, off in _with_ends(b.column(0).to_pylist()):
-                if kind == "tokens":
-                    parts.append(tokens.view(np.int64))
-                else:
-                    at, there = look.find(tokens)
-                    parts.append(look.pair_keys(look.class_of(at, there), off))
+                parts.append((tokens,) if order == 1 else (_contexts(tokens, off), tokens))
                 size += len(tokens)
                 if size >= COMBINE:
                     yield out()
@@ -154,166 +165,219 @@ def _training_counts(docs: DataFrame, kind: str, given=None) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    sql = ", ".join(f"{x} long" for x in [*names, "c"])
+    return docs.select("text").mapInArrow(run, sql).groupBy(*names).agg(F.sum("c").alias("c"))
 
 
-def _own_column(look: Lookup) -> Column:
-    """P(token) of a count column c, as :meth:`Lookup.own`."""
-    d = F.lit(1.0)
-    for k, x in enumerate(look.discounts, 1):
-        d = F.when(F.col("c") == k, F.lit(float(x))).otherwise(d)
-    return d * F.col("c") / F.lit(float(max(1, look.n)))
+def _split(table: DataFrame, names: list[str], given, local: bool) -> DataFrame:
+    """The rows of ``table`` whose tokens are all locally held, or the others."""
+    columns = [table.columns.index(x) for x in names]
+
+    def run(batches):
+        for b in batches:
+            there = np.ones(len(b), dtype=bool)
+            for k in columns:
+                there &= given.value.find(b.column(k).to_numpy(zero_copy_only=False).view(np.uint64))[1]
+            yield b.filter(pa.array(there == local))
+
+    return table.mapInArrow(run, table.schema)
+
+
+def _context_sums(pairs: DataFrame, given, discounts: list[float]) -> DataFrame:
+    """u, n, kept, lower: parts of each context's count, discounted count and single probabilities of locally held followers."""
+    schema = pa.schema([("u", pa.int64()), ("n", pa.int64()), ("kept", pa.float64()), ("lower", pa.float64())])
+
+    def run(batches):
+        look = given.value
+        held, size = [], 0
 
+        def out():
+            u, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, there = look.find(w.view(np.uint64))
+            order = np.argsort(u, kind="stable")
+            u = u[order]
+            start = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            sums = [np.add.reduceat(x[order], start) for x in (c, _discounted(c, discounts), np.where(there, 10 ** look.token_log[at], 0.0))]
+            return pa.RecordBatch.from_arrays([pa.array(u[start]), *map(pa.array, sums)], schema=schema)
+
+        for b in batches:
+            if len(b):
+                held.append([x.to_numpy(zero_copy_only=False) for x in b.columns])
+                size += len(b)
+            if size >= COMBINE:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return pairs.mapInArrow(run, "u long, n long, kept double, lower double")
 
-def fit(train: DataFrame, scratch: Scratch, classes: int = CLASSES, local: int = LOCAL) -> tuple[Lookup, DataFrame, DataFrame]:
-    """The bounded lookup, the table of tokens and the table of pairs, from the training texts (text)."""
-    folder = "counts/order="
-    tokens = scratch.write(_training_counts(train, "tokens"), f"{folder}1")
+
+def _repeated(pairs: DataFrame) -> np.ndarray:
+    """A bit for each pair seen more than once; its size is fixed."""
+    h = pairs.where("c > 1").select(_pair_key().bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("h"))
+    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup, DataFrame, DataFrame, DataFrame]:
+    """The bounded lookup, the tables of pairs (u, w, c) and contexts (u, weight, total), and key, gain, c of all entries.
+
+    ``gain`` is what an entry adds to a text's score: for a token that is not
+    locally held, over the unseen token, its weight as a context included; for
+    a pair of locally held tokens the logarithm of its discounted count, which
+    the text completes; for other pairs all they add over backing off.
+    """
+    spark = train.sparkSession
+    tokens = scratch.write(_training_counts(train, 1), "counts/order=1")
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"])
-    top = most_frequent(tokens, "c", local).toPandas().sort_values(["c", "key"], ascending=[False, True], ignore_index=True)
-    rank = np.minimum(np.arange(len(top)), classes)
-    order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(np.uint64))
+    top = most_frequent(tokens, "c", local).toPandas()
     of_counts = counts_of_counts(tokens)
-    discounts = good_turing(of_counts, v)
+    discounts = good_turing(of_counts)
     freed = sum((1 - d) * c * of_counts[c] for c, d in enumerate(discounts, 1))
-    look = Lookup(
-        k=classes, tokens=top["key"].to_numpy(dtype=np.int64).view(np.uint64)[order], counts=top["c"].to_numpy(dtype=np.int64)[order], classes=rank[order].astype(np.int64), all_tokens=len(top) == v,
-        class_log=np.empty(0), rest=0.0, n=n, v=v, discounts=discounts, unseen=freed / n if n else 1.0,
-    )
-    own = look.own(top["c"].to_numpy(dtype=np.int64)[:classes])
-    own = np.concatenate((own, np.zeros(classes - len(own))))
-    rest = max(1e-12, 1.0 - own.sum())  # all other tokens and the unseen one
-    look.rest = float(np.log10(rest))
+    keep = 1.0 if freed > 1e-9 * n or not n else n / (n + 1)
+    keys = np.append(top["w"].to_numpy(dtype=np.int64).view(np.uint64), START_HASH)
+    counts = np.append(top["c"].to_numpy(dtype=np.int64), 0)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    unseen = (freed / n if keep == 1 else 1 / (n + 1)) if n else 1.0
     with np.errstate(divide="ignore"):
-        look.class_log = np.log10(np.concatenate((own, [rest])))
+        token_log = np.log10(_discounted(counts, discounts) * keep / max(1, n))
+    look = Lookup(keys, counts, len(top) == v, n, v, discounts, keep, float(np.log10(unseen)), token_log)
+    given = spark.sparkContext.broadcast(look)
 
-    spark = train.sparkSession
-    pairs = scratch.write(_training_counts(train, "pairs", spark.sparkContext.broadcast(look)), f"{folder}2")
-    d2 = good_turing(counts_of_counts(pairs), 0)
-    d = F.lit(1.0)
-    for k, x in enumerate(d2, 1):
-        d = F.when(F.col("c") == k, F.lit(float(x))).otherwise(d)
-    one = spark.createDataFrame([(k, float(10**x) if np.isfinite(x) else 0.0) for k, x in enumerate(look.class_log)], "class long, p double")  # classes + 1 rows
-    mask = (1 << _SHIFT) - 1
-    split = pairs.select("key", "c", F.shiftright("key", _SHIFT).alias("context"), F.col("key").bitwiseAND(F.lit(mask)).alias("class"))
-    per = split.join(F.broadcast(one), "class").groupBy("context").agg(F.sum("c").alias("n"), F.sum(d * F.col("c")).alias("kept"), F.sum("p").alias("lower")).toPandas()  # classes + 2 rows
-    at = per["context"].to_numpy(dtype=np.int64)
-    total, kept, lower = np.ones(classes + 2), np.zeros(classes + 2), np.zeros(classes + 2)
-    total[at], kept[at], lower[at] = per["n"], per["kept"], per["lower"]
-    free, open_ = 1 - kept / total, 1 - lower
-    full = open_ < 1e-12  # every class followed: nothing to back off to, the kept mass is all
-    with np.errstate(divide="ignore", invalid="ignore"):
-        look.context_log = np.where(full, -np.inf, np.log10(np.maximum(free, 1e-300) / np.where(full, 1, open_)))
-        look.scale_log = np.where(full & (kept > 0), -np.log10(np.where(kept > 0, kept / total, 1)), 0.0)
-    look.context_count = total
+    pairs = scratch.write(_training_counts(train, 2), "counts/order=2")
+    d2 = good_turing(counts_of_counts(pairs))
+    sums = _context_sums(pairs, given, d2)
+    single = (_discounted_column("c", discounts) * F.lit(keep / max(1, n))).alias("lower")
+    if not look.all_tokens:
+        far = scratch.write(_split(pairs, ["u", "w"], given, False), "far")
+        rare = scratch.write(_split(tokens, ["w"], given, False), "rare")
+        more = far.select("u", "w").join(rare, "w").select("u", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("kept"), single)
+        sums = sums.unionByName(more)
+    sums = sums.groupBy("u").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower"))
+    none = F.col("kept") > F.col("n") * (1 - 1e-9)  # nothing freed
+    free = F.when(none, 1 / (F.col("n") + 1)).otherwise(1 - F.col("kept") / F.col("n"))
+    total = F.log10(F.when(none, F.col("kept") * (F.col("n") + 1) / F.col("n")).otherwise(F.col("n")))
+    contexts = scratch.write(sums.select("u", F.log10(free / (1 - F.col("lower"))).alias("weight"), total.alias("total")), "contexts")
+
+    mine = _split(contexts, ["u"], given, True).toPandas()  # a row per locally held token
+    at, _ = look.find(mine["u"].to_numpy(dtype=np.int64).view(np.uint64))
+    look.weight_log, look.total_log = np.zeros(len(keys)), np.zeros(len(keys))
+    look.weight_log[at], look.total_log[at] = mine["weight"], mine["total"]
     look.pair_discounts = d2
-    best = most_frequent(pairs, "c", local).toPandas().sort_values("key")
+    best = most_frequent(pairs, "c", PAIRS * local).toPandas()
     look.all_pairs = len(best) == pairs.count()
-    look.pairs = best["key"].to_numpy(dtype=np.int64)
-    look.pair_log = pair_log10(look, look.pairs, best["c"].to_numpy(dtype=np.int64))
-    return look, tokens, pairs
-
-
-def pair_log10(look: Lookup, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 P(class | context) of seen pairs."""
-    d = np.ones(len(c))
-    for k, x in enumerate(look.pair_discounts, 1):
-        d[c == k] = x
-    context = keys >> _SHIFT
-    return np.log10(d * c / look.context_count[context]) + look.scale_log[context]
-
-
-def score_texts(docs: DataFrame, learn_from: Column, classes: int = CLASSES, local: int = LOCAL, scratch: Scratch | None = None) -> DataFrame:
+    u, w = (best[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("u", "w"))
+    (a, here), (b, there) = look.find(u), look.find(w)
+    near = here & there
+    look.all_pairs &= bool(near.all())
+    gain = np.log10(_discounted(best["c"].to_numpy(dtype=np.int64), d2)) - look.total_log[a] - look.weight_log[a] - look.token_log[b]
+    key = _pair_keys(u, w)[near]
+    order = np.argsort(key)
+    look.pairs, look.gains = key[order], gain[near][order]
+    look.repeated = _repeated(pairs)
+
+    count = F.log10(_discounted_column("c", d2))
+    entry = lambda gain, c: [gain.alias("gain"), c.cast("long").alias("c")]
+    entries = _split(pairs, ["u", "w"], given, True).select(_pair_key().alias("key"), *entry(count, F.lit(0)))
+    if not look.all_tokens:
+        log = F.log10(_discounted_column("c", discounts) * F.lit(keep / n))
+        known = tokens.select("w", log.alias("log"))
+        tail = far.join(known, "w").join(contexts, "u").select(_pair_key().alias("key"), *entry(count - F.col("total") - F.col("weight") - F.col("log"), F.lit(0)))
+        single = rare.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(F.col("w").alias("key"), *entry(log + F.coalesce("weight", F.lit(0.0)) - F.lit(look.unseen), F.col("c")))
+        entries = entries.unionByName(tail).unionByName(single)
+    return look, pairs, contexts, entries
+
+
+def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows for which ``learn_from``, an expression over
     doc_id and text, is true.  Null and empty texts are the end token alone.
-    Without training texts every token is the unseen one.  Null doc_ids are
-    learned from unless the expression says otherwise (null counts as true).
-    Repeated rows are scored one by one; an empty table gives an empty result;
-    further columns are ignored.
+    Without training texts every token is the unseen one, which then has all
+    the probability.  Null doc_ids are learned from unless the expression says
+    otherwise (null counts as true).  Repeated rows are scored one by one; an
+    empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "katz")
     held = ~F.coalesce(learn_from, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    look, tokens, pairs = fit(docs.where(~F.col("held_out")), scratch, classes, local)
+    look, _, _, entries = fit(docs.where(~F.col("held_out")), scratch, local)
     given = spark.sparkContext.broadcast(look)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    info = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("value", pa.float64()), ("info", info)])
+    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches):
         look = given.value
-        smooth = look.n + look.v + 1
+        smooth = np.log10(look.n + look.v + 1)
+        once = float(np.log10(look.pair_discounts[0]))
 
         def sent(row, far):
-            who, kind, key, back = (np.concatenate(x) for x in far)
-            none, r = pa.nulls(len(who), pa.int64()), np.array(row, dtype=np.int64)[who]
-            return pa.RecordBatch.from_arrays([pa.array(r), none, pa.nulls(len(who), pa.bool_()), pa.array(kind), pa.array(key), none, none, pa.nulls(len(who), pa.float64()), pa.array(back)], schema=schema)
+            who, key, value = (np.concatenate(x) for x in far)
+            return pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(key.view(np.int64)), pa.array(value), pa.nulls(len(who), info)], schema=schema)
 
         for b in batches:
-            row, doc, out_ = (b.column(k).to_pylist() for k in (0, 1, 2))
+            row, out_ = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             n, known, base, score = (np.zeros(len(b), dtype=t) for t in (np.int64, np.int64, float, float))
-            far: list[list[np.ndarray]] = [[], [], [], []]  # text, kind, key, backoff score
+            far: list[list[np.ndarray]] = [[], [], []]  # text, key, what is added if the key is found
             for lo, hi, t, off in _with_ends(b.column(3).to_pylist()):
                 size = np.diff(off)
                 owner = np.repeat(np.arange(hi - lo), size)
-                at, there = look.find(t)
-                c = np.where(there, look.counts[at] if len(look.counts) else 0, 0)
-                classes = look.class_of(at, there)
-                here = there | look.all_tokens
-                common = classes == look.k
-                value = np.where(here, np.log10((c + 1) / smooth), 0.0)
-                within = np.zeros(len(t))
-                m = common & here
-                within[m] = np.log10(np.maximum(look.own(c[m]), 1e-300)) - look.rest
-                keys = look.pair_keys(classes, off)
-                context = keys >> _SHIFT
-                p = np.minimum(np.searchsorted(look.pairs, keys), max(0, len(look.pairs) - 1))
-                seen = look.pairs[p] == keys if len(look.pairs) else np.zeros(len(keys), dtype=bool)
-                back = look.context_log[context] + look.class_log[classes]
-                pair = np.where(seen, look.pair_log[p] if len(look.pairs) else 0.0, back if look.all_pairs else 0.0)
+                u = _contexts(t, off)
+                (at, there), (before, open_) = look.find(t), look.find(u)
+                c = np.where(there, look.counts[at], 0)
+                single = np.where(there & (c > 0), look.token_log[at], look.unseen)
+                weight = np.where(open_, look.weight_log[before], 0.0)
+                near = open_ & there & (c > 0)
+                keys = _pair_keys(u, t)
+                value = single + weight
+                more = np.where(near, -look.total_log[before] - value, 0.0)
+                todo = near if look.all_tokens else np.ones(len(t), dtype=bool)
+                if len(look.pairs):
+                    p = np.minimum(np.searchsorted(look.pairs, keys), len(look.pairs) - 1)
+                    seen = look.pairs[p] == keys
+                    value[seen] += look.gains[p[seen]]
+                    todo = todo & ~seen
+                if look.all_pairs:
+                    todo[:] = False
+                k = np.flatnonzero(todo & near & ~out_[lo:hi][owner])
+                h = keys[k] & mask
+                k = k[(look.repeated[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 0]
+                value[k] += once + more[k]
+                todo[k] = False
                 n[lo:hi] = size
                 known[lo:hi] = np.bincount(owner, (c > 0).astype(float), minlength=hi - lo)
-                base[lo:hi] = np.bincount(owner, value, minlength=hi - lo)
-                score[lo:hi] = np.bincount(owner, within + pair, minlength=hi - lo)
-                if not look.all_tokens:
-                    k = ~there
-                    far[0].append(owner[k] + lo)
-                    far[1].append(np.ones(k.sum(), dtype=np.int32))
-                    far[2].append(t[k].view(np.int64))
-                    far[3].append(np.zeros(k.sum()))
-                if not look.all_pairs:
-                    k = ~seen
-                    far[0].append(owner[k] + lo)
-                    far[1].append(np.full(k.sum(), 2, dtype=np.int32))
-                    far[2].append(keys[k])
-                    far[3].append(back[k])
+                base[lo:hi] = np.bincount(owner, np.log10(c + 1) - smooth, minlength=hi - lo)
+                score[lo:hi] = np.bincount(owner, value, minlength=hi - lo)
+                for part, which in ((keys, todo), (t, ~there if not look.all_tokens else ())):
+                    k = np.flatnonzero(which)
+                    if len(k):
+                        for x, y in zip(far, (owner[k] + lo, part[k], more[k] if part is keys else np.zeros(len(k))), strict=True):
+                            x.append(y)
                 if sum(map(len, far[0])) >= SEND:
                     yield sent(row, far)
-                    far = [[], [], [], []]
+                    far = [[], [], []]
             # the text itself travels under a key of its own, which no table has
-            zero = np.zeros(len(b), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(out_), pa.array(zero), pa.array(row, pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=schema)
+            facts = pa.StructArray.from_arrays([b.column(1), pa.array(out_), pa.array(n), pa.array(known), pa.array(base)], fields=list(info))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(score), facts], schema=schema)
             if far[0]:
                 yield sent(row, far)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    parts = rows.mapInArrow(run, "row long, doc_id long, held_out boolean, kind int, key long, n_tokens long, n_known long, base double, score double")
-    table = tokens.select(F.lit(1).alias("kind"), "key", "c").unionByName(pairs.select(F.lit(2).alias("kind"), "key", "c"))
-    parts = parts.join(table, ["kind", "key"], "left")
-    smooth = float(look.n + look.v + 1)
-    token_p = F.when(F.col("c").isNotNull(), _own_column(look)).otherwise(F.lit(float(look.unseen)))
-    d = F.lit(1.0)
-    for k, x in enumerate(look.pair_discounts, 1):
-        d = F.when(F.col("c") == k, F.lit(float(x))).otherwise(d)
-    contexts = spark.createDataFrame([(k, float(x), float(s)) for k, (x, s) in enumerate(zip(look.context_count, look.scale_log, strict=True))], "context long, total double, scale double")  # classes + 2 rows
-    parts = parts.withColumn("context", F.when(F.col("kind") == 2, F.shiftright("key", _SHIFT))).join(F.broadcast(contexts), "context", "left")
-    base = F.when(F.col("kind") == 1, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(smooth))).otherwise(F.coalesce("base", F.lit(0.0)))
-    score = F.when(F.col("kind") == 1, F.log10(F.greatest(token_p, F.lit(1e-300))) - F.lit(look.rest))
-    score = score.when((F.col("kind") == 2) & F.col("c").isNotNull(), F.log10(d * F.col("c") / F.col("total")) + F.col("scale")).otherwise(F.col("score"))
-    known = F.when((F.col("kind") == 1) & F.col("c").isNotNull(), 1).otherwise(F.coalesce("n_known", F.lit(0)))
+    parts = rows.mapInArrow(run, "row long, key long, value double, info struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double>")
+    parts = parts.join(entries, "key", "left")
+    own = F.col("info").isNotNull()
+    found = F.col("gain").isNotNull() & ~own
+    score = F.when(own, F.col("value")).when(found, F.col("value") + F.col("gain")).otherwise(0.0)
+    base = F.when(own, F.col("info.base")).when(found, F.log10(F.col("c") + 1)).otherwise(0.0)
+    known = F.when(own, F.col("info.n_known")).when(found & (F.col("c") > 0), 1).otherwise(0)
     out = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"), F.sum(base).alias("base_score"), F.sum(score).alias("score")
+        F.max("info.doc_id").alias("doc_id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"), F.sum(base).alias("base_score"), F.sum(score).alias("score")
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(look.n).cast("long").alias("train_tokens"), "base_score", "score")

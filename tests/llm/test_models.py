@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sumwell.llm import cotrain, entropy_mix, katz
+from sumwell.llm import cotrain, entropy_mix
 from sumwell.llm.cotrain import co_train, drop_low_quality, quality_scores
 from sumwell.llm.entropy_mix import capped_targets, fill_cells, mixed_documents, mixture
 from sumwell.llm.katz import good_turing, score_texts
@@ -21,62 +21,74 @@ def held(n):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def brute_katz(rows, cutoff=5):
+class BruteKatz:
     """A dictionary version of the model."""
-    train = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
-    seqs = [[*words(t), None] for t in train]
-    c = Counter(x for s in seqs for x in s)
-    n, v = sum(c.values()), len(c)
-    cc = Counter(c.values())
-    d1 = good_turing([cc.get(k, 0) for k in range(cutoff + 3)], v)
-    disc = lambda d, k: d[k - 1] if k <= cutoff else 1.0
-    own = {w: disc(d1, k) * k / n for w, k in c.items()}
-    unseen = sum((1 - disc(d1, k)) * k * m for k, m in cc.items()) / n
-    return c, n, v, own, unseen, seqs
-
-
-@pytest.mark.parametrize("local", [1 << 18, 40])
+
+    def __init__(self, rows):
+        seqs = [[*words(t), None] for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+        self.c = Counter(x for s in seqs for x in s)
+        self.pairs = Counter(p for s in seqs for p in zip([0, *s], s, strict=False))
+        self.n = sum(self.c.values())
+        self.own, self.unseen = self.kept(self.c)
+        self.after = defaultdict(dict)
+        d = self.discounts(self.pairs)
+        for (u, w), k in self.pairs.items():
+            self.after[u][w] = (k, d(k) * k)
+
+    @staticmethod
+    def discounts(counts):
+        of = Counter(counts.values())
+        d = good_turing([of.get(k, 0) for k in range(8)])
+        return lambda k: d[k - 1] if k <= 5 else 1.0
+
+    def kept(self, counts):
+        d = self.discounts(counts)
+        out = {w: d(k) * k / self.n for w, k in counts.items()}
+        if 1 - sum(out.values()) < 1e-9:
+            out = {w: x * self.n / (self.n + 1) for w, x in out.items()}
+        return out, 1 - sum(out.values())
+
+    def prob(self, u, w):
+        one = self.own.get(w, self.unseen)
+        if u not in self.after:
+            return one
+        n, kept = sum(k for k, _ in self.after[u].values()), sum(x for _, x in self.after[u].values())
+        share = n / (n + 1) if kept > n * (1 - 1e-9) else 1.0
+        if w in self.after[u]:
+            return share * self.after[u][w][1] / n
+        return (1 - share * kept / n) / (1 - sum(self.own[x] for x in self.after[u])) * one
+
+    def score(self, text):
+        s = [*words(text), None]
+        return sum(math.log10(self.prob(u, w)) for u, w in zip([0, *s], s, strict=False))
+
+
+@pytest.mark.parametrize("local", [1 << 18, 40, 4])
 def test_katz_is_a_distribution_and_equals_a_plain_version(spark, local):
     r = random.Random(2)
     rows = [(k, sentence(r, 120, 60) if k % 3 else sentence(r, 30, 1000)) for k in range(50)] + [(60, None), (61, ""), (62, "never seen Words here"), (None, "w1 w2 w3"), (3, "w1 w1"), (64, "w5 " * 5000)]
     df = documents(spark, [(d, t, None, None, None) for d, t in rows], clash=True)
-    got = score_texts(df, held(7) != 2, 8, local).collect()
-    c, n, v, own, unseen, seqs = brute_katz(rows)
-    assert abs(sum(own.values()) + unseen - 1) < 1e-9
-    base = lambda t: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t), None])
-    want = sorted((str(d), zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False, len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), None]), n, round(base(t), 6)) for d, t in rows)
+    got = score_texts(df, held(7) != 2, local).collect()
+    m = BruteKatz(rows)
+    assert abs(sum(m.own.values()) + m.unseen - 1) < 1e-9
+    base = lambda t: sum(math.log10((m.c[w] + 1) / (m.n + len(m.c) + 1)) for w in [*words(t), None])
+    want = sorted((str(d), zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False, len(words(t)) + 1, sum(m.c[w] > 0 for w in [*words(t), None]), m.n, round(base(t), 6)) for d, t in rows)
     assert sorted((str(x["doc_id"]), x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
-    # the model itself: classes as the operator ranks them, pairs by dictionary
-    look, tokens, pairs = katz.fit(df.where(F.coalesce(held(7) != 2, F.lit(True))), katz.Scratch(spark, "t"), 8, local)
-    table = {(r["key"] >> 20, r["key"] & ((1 << 20) - 1)): r["c"] for r in pairs.collect()}
-    classes = 10 ** look.class_log
-    assert abs(classes.sum() - 1) < 1e-9
-    from sumwell.llm.text import END_HASH, encoded, word_hashes
-
-    def prob(context, k):
-        if (context, k) in table:
-            cnt = table[(context, k)]
-            d = look.pair_discounts[cnt - 1] if cnt <= 5 else 1.0
-            return d * cnt / look.context_count[context] * 10 ** look.scale_log[context]
-        return 10 ** look.context_log[context] * classes[k]
-
-    for context in {a for a, _ in table}:
-        assert abs(sum(prob(context, k) for k in range(9)) - 1) < 1e-9  # exactly normalised
-    counted = sorted(((r["c"], -r["key"]) for r in tokens.collect()), reverse=True)
-    cls = {-k: i for i, (_, k) in enumerate(counted[:8])} if look.all_tokens else {int(np.array([h], dtype=np.uint64).view(np.int64)[0]): int(k) for h, k in zip(look.tokens, look.classes, strict=True)}
+    for u in [*m.after, "unknown"]:  # exactly normalised
+        assert abs(sum(m.prob(u, w) for w in m.own) + m.prob(u, "unknown") - 1) < 1e-9
     by_text = defaultdict(list)
     for x in got:
         by_text[(x["doc_id"], x["n_tokens"])].append(x["score"])
     for d, t in rows:
-        hashes = [*word_hashes(encoded(t))[0].tolist(), int(END_HASH)]
-        total, before = 0.0, 9
-        for h, w in zip(hashes, [*words(t), None], strict=True):
-            k = cls.get(int(np.array([h], dtype=np.uint64).view(np.int64)[0]), 8)
-            total += math.log10(prob(before, k))
-            if k == 8:
-                total += math.log10(own.get(w, unseen)) - look.rest
-            before = k
-        assert any(abs(total - s) < 1e-6 * max(1, abs(total)) for s in by_text[(d, len(hashes))])
+        want = m.score(t)
+        assert any(abs(want - s) < 1e-6 * max(1, abs(want)) for s in by_text[(d, len(words(t)) + 1)])
+
+
+def test_katz_where_no_count_is_discounted(spark):
+    rows = [(k, "a b " * 8) for k in range(3)] + [(70, "a c")]
+    got = score_texts(documents(spark, [(d, t, None, None, None) for d, t in rows]), held(7) != 2, 2).collect()
+    m = BruteKatz(rows)
+    assert sorted(round(x["score"], 6) for x in got) == sorted(round(m.score(t), 6) for _, t in rows)
 
 
 def test_katz_without_training_and_rows(spark):
