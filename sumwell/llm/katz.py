@@ -35,11 +35,11 @@ from sumwell.llm.text import END_HASH, mix, word_slices
 #: Tokens that are looked up locally, at most.
 LOCAL = 1 << 18
 #: Pairs that are looked up locally, as a multiple of that.
-PAIRS = 4
+PAIRS = 2
 #: Bits of the filter of repeated pairs are 2 to this.
-FILTER_BITS = 26
+FILTER_BITS = 25
 #: Training tokens whose counts are combined in a task before they are shuffled.
-COMBINE = 2_000_000
+COMBINE = 3_000_000
 #: Lookups that a task holds before it sends them.
 SEND = 200_000
 #: Counts above this are not discounted.
@@ -166,7 +166,26 @@ def _training_counts(docs: DataFrame, order: int) -> DataFrame:
             yield out()
 
     sql = ", ".join(f"{x} long" for x in [*names, "c"])
-    return docs.select("text").mapInArrow(run, sql).groupBy(*names).agg(F.sum("c").alias("c"))
+    dealt = docs.select("text").mapInArrow(run, sql).repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(_summed, sql)
+
+
+def _summed(batches):
+    """Sorted rows of keys and c -> one row for each key."""
+    held = None  # the last key, whose rows may go on
+    for b in batches:
+        if not len(b):
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+        start = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in cols[:-1]], axis=0))))
+        out = pa.RecordBatch.from_arrays([*[pa.array(k[start]) for k in cols[:-1]], pa.array(np.add.reduceat(cols[-1], start))], schema=b.schema)
+        held = out.slice(len(start) - 1)
+        if len(start) > 1:
+            yield out.slice(0, len(start) - 1)
+    if held is not None:
+        yield held
 
 
 def _split(table: DataFrame, names: list[str], given, local: bool) -> DataFrame:
@@ -232,15 +251,16 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
     """
     spark = train.sparkSession
     tokens = scratch.write(_training_counts(train, 1), "counts/order=1")
+    scratch.release()
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"])
-    top = most_frequent(tokens, "c", local).toPandas()
+    top = most_frequent(tokens, "c", local).toArrow()
     of_counts = counts_of_counts(tokens)
     discounts = good_turing(of_counts)
     freed = sum((1 - d) * c * of_counts[c] for c, d in enumerate(discounts, 1))
     keep = 1.0 if freed > 1e-9 * n or not n else n / (n + 1)
-    keys = np.append(top["w"].to_numpy(dtype=np.int64).view(np.uint64), START_HASH)
-    counts = np.append(top["c"].to_numpy(dtype=np.int64), 0)
+    keys = np.append(top["w"].to_numpy().view(np.uint64), START_HASH)
+    counts = np.append(top["c"].to_numpy(), 0)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     unseen = (freed / n if keep == 1 else 1 / (n + 1)) if n else 1.0
@@ -250,6 +270,7 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
     given = spark.sparkContext.broadcast(look)
 
     pairs = scratch.write(_training_counts(train, 2), "counts/order=2")
+    scratch.release()
     d2 = good_turing(counts_of_counts(pairs))
     sums = _context_sums(pairs, given, d2)
     single = (_discounted_column("c", discounts) * F.lit(keep / max(1, n))).alias("lower")
@@ -264,18 +285,19 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
     total = F.log10(F.when(none, F.col("kept") * (F.col("n") + 1) / F.col("n")).otherwise(F.col("n")))
     contexts = scratch.write(sums.select("u", F.log10(free / (1 - F.col("lower"))).alias("weight"), total.alias("total")), "contexts")
 
-    mine = _split(contexts, ["u"], given, True).toPandas()  # a row per locally held token
-    at, _ = look.find(mine["u"].to_numpy(dtype=np.int64).view(np.uint64))
+    scratch.release()
+    mine = _split(contexts, ["u"], given, True).toArrow()  # a row per locally held token
+    at, _ = look.find(mine["u"].to_numpy().view(np.uint64))
     look.weight_log, look.total_log = np.zeros(len(keys)), np.zeros(len(keys))
-    look.weight_log[at], look.total_log[at] = mine["weight"], mine["total"]
+    look.weight_log[at], look.total_log[at] = mine["weight"].to_numpy(), mine["total"].to_numpy()
     look.pair_discounts = d2
-    best = most_frequent(pairs, "c", PAIRS * local).toPandas()
+    best = most_frequent(pairs, "c", PAIRS * local).toArrow()
     look.all_pairs = len(best) == pairs.count()
-    u, w = (best[x].to_numpy(dtype=np.int64).view(np.uint64) for x in ("u", "w"))
+    u, w = (best[x].to_numpy().view(np.uint64) for x in ("u", "w"))
     (a, here), (b, there) = look.find(u), look.find(w)
     near = here & there
     look.all_pairs &= bool(near.all())
-    gain = np.log10(_discounted(best["c"].to_numpy(dtype=np.int64), d2)) - look.total_log[a] - look.weight_log[a] - look.token_log[b]
+    gain = np.log10(_discounted(best["c"].to_numpy(), d2)) - look.total_log[a] - look.weight_log[a] - look.token_log[b]
     key = _pair_keys(u, w)[near]
     order = np.argsort(key)
     look.pairs, look.gains = key[order], gain[near][order]
