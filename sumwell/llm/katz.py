@@ -33,9 +33,9 @@ from sumwell.llm.scratch import Scratch, most_frequent
 from sumwell.llm.text import END_HASH, mix, word_slices
 
 #: Tokens that are looked up locally, at most.
-LOCAL = 1 << 18
-#: Pairs that are looked up locally, as a multiple of that.
-PAIRS = 2
+LOCAL = 1 << 20
+#: Pairs that are looked up locally, at most.
+PAIRS = 1 << 19
 #: Bits of the filter of repeated pairs are 2 to this.
 FILTER_BITS = 25
 #: Training tokens whose counts are combined in a task before they are shuffled.
@@ -241,7 +241,7 @@ def _repeated(pairs: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup, DataFrame, DataFrame, DataFrame]:
+def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int = PAIRS) -> tuple[Lookup, DataFrame, DataFrame, DataFrame]:
     """The bounded lookup, the tables of pairs (u, w, c) and contexts (u, weight, total), and key, gain, c of all entries.
 
     ``gain`` is what an entry adds to a text's score: for a token that is not
@@ -271,7 +271,7 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
 
     pairs = scratch.write(_training_counts(train, 2), "counts/order=2")
     scratch.release()
-    d2 = good_turing(counts_of_counts(pairs))
+    kinds, d2 = pairs.count(), good_turing(counts_of_counts(pairs))
     sums = _context_sums(pairs, given, d2)
     single = (_discounted_column("c", discounts) * F.lit(keep / max(1, n))).alias("lower")
     if not look.all_tokens:
@@ -291,8 +291,8 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
     look.weight_log, look.total_log = np.zeros(len(keys)), np.zeros(len(keys))
     look.weight_log[at], look.total_log[at] = mine["weight"].to_numpy(), mine["total"].to_numpy()
     look.pair_discounts = d2
-    best = most_frequent(pairs, "c", PAIRS * local).toArrow()
-    look.all_pairs = len(best) == pairs.count()
+    best = most_frequent(pairs, "c", most_pairs).toArrow()
+    look.all_pairs = len(best) == kinds
     u, w = (best[x].to_numpy().view(np.uint64) for x in ("u", "w"))
     (a, here), (b, there) = look.find(u), look.find(w)
     near = here & there
@@ -315,7 +315,7 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL) -> tuple[Lookup,
     return look, pairs, contexts, entries
 
 
-def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, most_pairs: int = PAIRS, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows for which ``learn_from``, an expression over
@@ -329,10 +329,11 @@ def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, scratch
     scratch = scratch or Scratch(spark, "katz")
     held = ~F.coalesce(learn_from, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    look, _, _, entries = fit(docs.where(~F.col("held_out")), scratch, local)
+    look, _, _, entries = fit(docs.where(~F.col("held_out")), scratch, local, most_pairs)
     given = spark.sparkContext.broadcast(look)
-    info = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("value", pa.float64()), ("info", info)])
+    info = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    # what a pair completes is sent as a float, which halves what is shuffled and is exact to seven digits
+    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("value", pa.float32()), ("info", info)])
     mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches):
@@ -342,7 +343,7 @@ def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, scratch
 
         def sent(row, far):
             who, key, value = (np.concatenate(x) for x in far)
-            return pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(key.view(np.int64)), pa.array(value), pa.nulls(len(who), info)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(key.view(np.int64)), pa.array(value, pa.float32()), pa.nulls(len(who), info)], schema=schema)
 
         for b in batches:
             row, out_ = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -386,17 +387,17 @@ def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, scratch
                     yield sent(row, far)
                     far = [[], [], []]
             # the text itself travels under a key of its own, which no table has
-            facts = pa.StructArray.from_arrays([b.column(1), pa.array(out_), pa.array(n), pa.array(known), pa.array(base)], fields=list(info))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(score), facts], schema=schema)
+            facts = pa.StructArray.from_arrays([b.column(1), pa.array(out_), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], fields=list(info))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.nulls(len(b), pa.float32()), facts], schema=schema)
             if far[0]:
                 yield sent(row, far)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    parts = rows.mapInArrow(run, "row long, key long, value double, info struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double>")
+    parts = rows.mapInArrow(run, "row long, key long, value float, info struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>")
     parts = parts.join(entries, "key", "left")
     own = F.col("info").isNotNull()
     found = F.col("gain").isNotNull() & ~own
-    score = F.when(own, F.col("value")).when(found, F.col("value") + F.col("gain")).otherwise(0.0)
+    score = F.when(own, F.col("info.score")).when(found, F.col("value") + F.col("gain")).otherwise(0.0)
     base = F.when(own, F.col("info.base")).when(found, F.log10(F.col("c") + 1)).otherwise(0.0)
     known = F.when(own, F.col("info.n_known")).when(found & (F.col("c") > 0), 1).otherwise(0)
     out = parts.groupBy("row").agg(
