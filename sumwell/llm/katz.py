@@ -16,8 +16,11 @@ gains over backing off; the parts come from different tables and add up.
 
 The most frequent tokens and pairs, a fixed number of them, are looked up where
 the text is.  A training text's pair that is not marked as repeated in a filter
-of fixed size was seen once.  All other tokens and pairs go to the partition of
-the table that holds them.
+of fixed size was seen once.  All other tokens and pairs go to the bucket of
+the table that holds them: tasks pack what they look up by bucket, a bucket's
+entries, a bounded number, are held by one task at a time, and what is looked
+up streams past them.  Pairs seen once that neither filter asks for are not
+dealt out; the filters only decide what moves, never what is found.
 """
 
 from __future__ import annotations
@@ -36,14 +39,17 @@ from sumwell.llm.text import END_HASH, mix, word_slices
 LOCAL = 1 << 20
 #: Pairs that are looked up locally, at most.
 PAIRS = 1 << 19
-#: Bits of the filter of repeated pairs are 2 to this.
-FILTER_BITS = 25
+#: Bits of the filters of repeated and of wanted pairs are 2 to this.
+FILTER_BITS = 26
 #: Training tokens whose counts are combined in a task before they are shuffled.
 COMBINE = 3_000_000
-#: Lookups that a task holds before it sends them.
-SEND = 200_000
+#: Lookups or entries that a task holds before it sends them.
+SEND = 1_000_000
+#: Entries of a bucket, about.
+BUCKET = 1 << 21
 #: Counts above this are not discounted.
 CUTOFF = 5
+_HALF = np.uint64((1 << 32) - 1)
 #: Stands for the context of a text's first token.
 START_HASH = mix(np.array([0x57A27], dtype=np.uint64))[0]
 
@@ -102,12 +108,42 @@ class Lookup:
     gains: np.ndarray | None = None
     all_pairs: bool = False
     pair_discounts: list[float] | None = None
-    repeated: np.ndarray | None = None  # the filter
+    repeated: np.ndarray | None = None  # the filter of pairs seen more than once
+    wanted: np.ndarray | None = None  # the filter of pairs that held-out texts look up
+    buckets: int = 1
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if not k.startswith("_")}
+
+    def _probe(self, name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in a sorted array of hashes, and whether they are there; an index by leading bits spares the search."""
+        known = getattr(self, name)
+        if not hasattr(self, "_index_" + name):
+            bits = len(known).bit_length()
+            edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            setattr(self, "_index_" + name, (np.uint64(64 - bits), np.append(np.searchsorted(known, edges), len(known)).astype(np.int32)))
+        shift, first = getattr(self, "_index_" + name)
+        b = (hashes >> shift).astype(np.int64)
+        at, end = first[b], first[b + 1]
+        at = np.minimum(at, len(known) - 1)
+        there = known[at] == hashes
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = known[at[left]] == hashes[left]
+            there[left[hit]] = True
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return at, there
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the tokens, and whether they are there."""
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return at, self.tokens[at] == hashes
+        return self._probe("tokens", hashes)
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    h = keys & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _discounted(c: np.ndarray, discounts: list[float]) -> np.ndarray:
@@ -133,11 +169,6 @@ def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (u << np.uint64(23) | u >> np.uint64(41)) ^ w
 
 
-def _pair_key() -> Column:
-    """The same of columns u and w."""
-    return F.shiftleft("u", 23).bitwiseOR(F.shiftrightunsigned("u", 41)).bitwiseXOR(F.col("w"))
-
-
 def _training_counts(docs: DataFrame, order: int) -> DataFrame:
     """w, c or u, w, c over the training texts, combined in tasks before they are shuffled."""
     names = ["w"] if order == 1 else ["u", "w"]
@@ -148,7 +179,8 @@ def _training_counts(docs: DataFrame, order: int) -> DataFrame:
 
         def out():
             keys = [np.concatenate(k) for k in zip(*parts, strict=True)]
-            at = np.lexsort(keys[::-1]) if order > 1 else np.argsort(keys[0])
+            # leading halves of both hashes bring equal pairs together; if others fall between, the next sum joins them
+            at = np.argsort(keys[0] & ~_HALF | keys[1] >> np.uint64(32) if order > 1 else keys[0])
             keys = [k[at] for k in keys]
             new = np.ones(len(at) + 1, dtype=bool)
             new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -232,24 +264,144 @@ def _context_sums(pairs: DataFrame, given, discounts: list[float]) -> DataFrame:
     return pairs.mapInArrow(run, "u long, n long, kept double, lower double")
 
 
-def _repeated(pairs: DataFrame) -> np.ndarray:
-    """A bit for each pair seen more than once; its size is fixed."""
-    h = pairs.where("c > 1").select(_pair_key().bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("h"))
-    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The filter with a bit for each of ``keys``, which tasks give as (w, bits) of its words; its size is fixed."""
+    words = keys.groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     return bits.view(np.uint64)
 
 
-def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int = PAIRS) -> tuple[Lookup, DataFrame, DataFrame, DataFrame]:
-    """The bounded lookup, the tables of pairs (u, w, c) and contexts (u, weight, total), and key, gain, c of all entries.
+def _filter_words(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """(w, bits) of the filter's words that have a bit for one of the keys."""
+    h = np.sort(np.concatenate(parts) & np.uint64((1 << FILTER_BITS) - 1))
+    w = h >> np.uint64(6)
+    start = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), start)
+    return pa.RecordBatch.from_arrays([pa.array(w[start].view(np.int64)), pa.array(bits.view(np.int64))], names=["w", "bits"])
+
+
+def _repeated(pairs: DataFrame) -> np.ndarray:
+    """The filter of pairs seen more than once."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield _filter_words([_pair_keys(*(b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)))])
+
+    return _filter(pairs.where("c > 1").select("u", "w").mapInArrow(run, "w long, bits long"))
+
 
-    ``gain`` is what an entry adds to a text's score: for a token that is not
+def _wanted(look: Lookup, docs: DataFrame) -> np.ndarray:
+    """The filter of pairs that held-out texts do not find locally."""
+    given = docs.sparkSession.sparkContext.broadcast(look)
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for b in batches:
+            for part in _looked_up(given.value, b.column(0).to_pylist(), np.ones(len(b), dtype=bool)):
+                held.append(part.keys[part.far])
+                if sum(map(len, held)) >= SEND:
+                    yield _filter_words(held)
+                    held = []
+        if sum(map(len, held)):
+            yield _filter_words(held)
+
+    out = _filter(docs.where("held_out").select("text").mapInArrow(run, "w long, bits long"))
+    given.destroy()
+    return out
+
+
+#: Rows that meet in a bucket: entries (hashes; gains as float; counts as long, none for pairs), lookups (hashes; rows; hashes of
+#: each row) and what a text has without them.
+_INFO = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_DEALT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("counts", pa.binary()), ("info", _INFO)])
+_DEALT_SQL = "bucket long, kind int, keys binary, values binary, counts binary, info struct<row: long, doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
+_ENTRY, _LOOKUP, _TEXT = range(3)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """(bucket, positions of its keys in order)."""
+    of = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield int(k), order[edges[k] : edges[k + 1]]
+
+
+def _dealt(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (bucket, keys, values, counts) of a kind."""
+    bucket, *blobs = zip(*rows, strict=True)
+    columns = [pa.array([x.tobytes() for x in b], pa.binary()) for b in blobs]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([kind] * len(rows), pa.int32()), *columns, pa.nulls(len(rows), _INFO)], schema=_DEALT)
+
+
+def _deal_entries(keys: np.ndarray, gains: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    none = np.empty(0, dtype=np.int64)
+    gains = gains.astype(np.float32)
+    return _dealt(_ENTRY, [(k, keys[at], gains[at], none if counts is None else counts[at]) for k, at in _by_bucket(keys, buckets)])
+
+
+def _packed(entries: DataFrame, buckets: int) -> DataFrame:
+    """Rows (key, gain, c) or (u, w, gain) packed by bucket."""
+    pairs = "u" in entries.columns
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            if pairs:
+                return _deal_entries(_pair_keys(a.view(np.uint64), b.view(np.uint64)), c, None, buckets)
+            return _deal_entries(a.view(np.uint64), b, c, buckets)
+
+        for b in batches:
+            if len(b):
+                held.append([x.to_numpy(zero_copy_only=False) for x in b.columns])
+                size += len(b)
+            if size >= SEND:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return entries.mapInArrow(run, _DEALT_SQL)
+
+
+def _near_pairs(pairs: DataFrame, given) -> DataFrame:
+    """Entries of pairs of locally held tokens that a lookup can ask for, packed by bucket."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            look = given.value
+            u, w, c = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            u, w = u.view(np.uint64), w.view(np.uint64)
+            keys = _pair_keys(u, w)
+            k = np.flatnonzero((c > 1) | _marked(look.wanted, keys) | _marked(look.repeated, keys))
+            (before, open_), (at, there) = look.find(u[k]), look.find(w[k])
+            near = open_ & there
+            k, before, at = k[near], before[near], at[near]
+            held.append((keys[k], np.log10(_discounted(c[k], look.pair_discounts)) - look.total_log[before] - look.weight_log[before] - look.token_log[at]))
+            size += len(k)
+            if size >= SEND:
+                yield _deal_entries(*map(np.concatenate, zip(*held, strict=True)), None, look.buckets)
+                held, size = [], 0
+        if size:
+            yield _deal_entries(*map(np.concatenate, zip(*held, strict=True)), None, given.value.buckets)
+
+    return pairs.mapInArrow(run, _DEALT_SQL)
+
+
+def fit(docs: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int = PAIRS) -> tuple[Lookup, DataFrame]:
+    """The bounded lookup, and all further entries that the texts of ``docs`` (doc_id, text, held_out) can ask for, packed by bucket.
+
+    A gain is what an entry adds to a text's score: for a token that is not
     locally held, over the unseen token, its weight as a context included; for
-    a pair of locally held tokens the logarithm of its discounted count, which
-    the text completes; for other pairs all they add over backing off.
+    a pair all that it adds over backing off.
     """
-    spark = train.sparkSession
+    spark = docs.sparkSession
+    train = docs.where(~F.col("held_out"))
     tokens = scratch.write(_training_counts(train, 1), "counts/order=1")
     scratch.release()
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -272,6 +424,7 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int
     pairs = scratch.write(_training_counts(train, 2), "counts/order=2")
     scratch.release()
     kinds, d2 = pairs.count(), good_turing(counts_of_counts(pairs))
+    look.buckets = max(2 * spark.sparkContext.defaultParallelism, kinds // BUCKET)
     sums = _context_sums(pairs, given, d2)
     single = (_discounted_column("c", discounts) * F.lit(keep / max(1, n))).alias("lower")
     if not look.all_tokens:
@@ -287,6 +440,7 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int
 
     scratch.release()
     mine = _split(contexts, ["u"], given, True).toArrow()  # a row per locally held token
+    given.destroy()
     at, _ = look.find(mine["u"].to_numpy().view(np.uint64))
     look.weight_log, look.total_log = np.zeros(len(keys)), np.zeros(len(keys))
     look.weight_log[at], look.total_log[at] = mine["weight"].to_numpy(), mine["total"].to_numpy()
@@ -301,18 +455,119 @@ def fit(train: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int
     key = _pair_keys(u, w)[near]
     order = np.argsort(key)
     look.pairs, look.gains = key[order], gain[near][order]
+    look.wanted = _wanted(look, docs)
     look.repeated = _repeated(pairs)
 
-    count = F.log10(_discounted_column("c", d2))
-    entry = lambda gain, c: [gain.alias("gain"), c.cast("long").alias("c")]
-    entries = _split(pairs, ["u", "w"], given, True).select(_pair_key().alias("key"), *entry(count, F.lit(0)))
+    given = spark.sparkContext.broadcast(look)
+    entries = _near_pairs(pairs, given)
     if not look.all_tokens:
         log = F.log10(_discounted_column("c", discounts) * F.lit(keep / n))
         known = tokens.select("w", log.alias("log"))
-        tail = far.join(known, "w").join(contexts, "u").select(_pair_key().alias("key"), *entry(count - F.col("total") - F.col("weight") - F.col("log"), F.lit(0)))
-        single = rare.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(F.col("w").alias("key"), *entry(log + F.coalesce("weight", F.lit(0.0)) - F.lit(look.unseen), F.col("c")))
-        entries = entries.unionByName(tail).unionByName(single)
-    return look, pairs, contexts, entries
+        count = F.log10(_discounted_column("c", d2))
+        tail = far.join(known, "w").join(contexts, "u").select("u", "w", (count - F.col("total") - F.col("weight") - F.col("log")).alias("gain"))
+        gain = log + F.coalesce("weight", F.lit(0.0)) - F.lit(look.unseen)
+        single = rare.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(F.col("w").alias("key"), gain.alias("gain"), "c")
+        entries = entries.unionByName(_packed(tail, look.buckets)).unionByName(_packed(single, look.buckets))
+    entries = scratch.write(entries, "entries")
+    given.destroy()
+    scratch.drop("counts", "contexts", "far", "rare")
+    scratch.release()
+    look.wanted = None
+    return look, entries
+
+
+@dataclass
+class Part:
+    """What some texts find locally: arrays by text, and by token with the text that it belongs to."""
+
+    lo: int
+    hi: int
+    size: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+    owner: np.ndarray
+    keys: np.ndarray
+    tokens: np.ndarray
+    far: np.ndarray  # whether the pair is to be looked up elsewhere
+    rare: np.ndarray  # whether the token is
+
+
+def _looked_up(look: Lookup, texts, held_out: np.ndarray):
+    """Parts of the texts; held_out tells for which of them pairs may be unseen."""
+    smooth = np.log10(look.n + look.v + 1)
+    once = float(np.log10(look.pair_discounts[0]))
+    (start,), _ = look.find(np.array([START_HASH]))
+    for lo, hi, t, off in _with_ends(texts):
+        size = np.diff(off)
+        owner = np.repeat(np.arange(hi - lo), size)
+        at, there = look.find(t)
+        before, open_ = np.empty_like(at), np.empty_like(there)
+        before[1:], open_[1:] = at[:-1], there[:-1]
+        before[off[:-1]], open_[off[:-1]] = start, True
+        c = np.where(there, look.counts[at], 0)
+        keys = _pair_keys(_contexts(t, off), t)
+        single = np.where(there & (c > 0), look.token_log[at], look.unseen)
+        weight = np.where(open_, look.weight_log[before], 0.0)
+        value = single + weight
+        near = open_ & there & (c > 0)
+        far = near if look.all_tokens else np.ones(len(t), dtype=bool)
+        if len(look.pairs):
+            p, seen = look._probe("pairs", keys)
+            value[seen] += look.gains[p[seen]]
+            far = far & ~seen
+        if look.all_pairs:
+            far = np.zeros(len(t), dtype=bool)
+        if look.repeated is not None:
+            k = np.flatnonzero(far & near & ~held_out[lo:hi][owner])
+            k = k[~_marked(look.repeated, keys[k])]
+            value[k] = once - look.total_log[before[k]]
+            far[k] = False
+        sums = [np.bincount(owner, x, minlength=hi - lo) for x in ((c > 0).astype(float), np.log10(c + 1) - smooth, value)]
+        yield Part(lo, hi, size, *sums, owner, keys, t, far, np.zeros(len(t), dtype=bool) if look.all_tokens else ~there)
+
+
+def _met(batches):
+    """Dealt rows, sorted by bucket and kind -> row, doc_id, held_out, n_tokens, n_known, base, score; what a bucket gives a text, or what it has by itself."""
+    bucket, held, table = None, [], None
+    for b in batches:
+        infos, rows = [], []
+        kinds, of, info = b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(5)
+        for k, kind in enumerate(kinds):
+            if of[k] != bucket:
+                bucket, held, table = of[k], [], None
+            if kind == _TEXT:
+                infos.append(k)
+                continue
+            keys, values, counts = (np.frombuffer(b.column(j)[k].as_buffer(), dtype=t) for j, t in ((2, np.uint64), (3, np.float32 if kind == _ENTRY else np.int64), (4, np.int64)))
+            if kind == _ENTRY:
+                held.append((keys.copy(), values.copy(), counts.copy() if len(counts) else np.zeros(len(keys), dtype=np.int64)))
+                continue
+            if table is None:
+                table = [np.concatenate(x) for x in zip(*held, strict=True)] if held else []
+                if table:
+                    order = np.argsort(table[0])
+                    table = [x[order] for x in table]
+                held = []
+            if not table:
+                continue
+            order = np.argsort(keys)
+            at = np.empty(len(keys), dtype=np.int64)
+            at[order] = np.searchsorted(table[0], keys[order])
+            at = np.minimum(at, len(table[0]) - 1)
+            hit = table[0][at] == keys
+            start = np.cumsum(counts) - counts
+            c = np.where(hit, table[2][at], 0)
+            some = np.add.reduceat(hit.astype(np.int64), start) > 0
+            sums = [np.add.reduceat(x, start)[some] for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), np.where(hit, table[1][at].astype(float), 0.0))]
+            rows.append((values[some], *sums))
+        if infos:
+            yield pa.RecordBatch.from_struct_array(info.take(pa.array(infos)))
+        if rows:
+            row, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True))
+            none = len(row)
+            columns = [pa.array(row), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.array(known), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(_INFO)))
 
 
 def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, most_pairs: int = PAIRS, scratch: Scratch | None = None) -> DataFrame:
@@ -329,78 +584,48 @@ def score_texts(docs: DataFrame, learn_from: Column, local: int = LOCAL, most_pa
     scratch = scratch or Scratch(spark, "katz")
     held = ~F.coalesce(learn_from, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    look, _, _, entries = fit(docs.where(~F.col("held_out")), scratch, local, most_pairs)
+    look, entries = fit(docs, scratch, local, most_pairs)
     given = spark.sparkContext.broadcast(look)
-    info = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    # what a pair completes is sent as a float, which halves what is shuffled and is exact to seven digits
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("value", pa.float32()), ("info", info)])
-    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches):
         look = given.value
-        smooth = np.log10(look.n + look.v + 1)
-        once = float(np.log10(look.pair_discounts[0]))
 
         def sent(row, far):
-            who, key, value = (np.concatenate(x) for x in far)
-            return pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(key.view(np.int64)), pa.array(value, pa.float32()), pa.nulls(len(who), info)], schema=schema)
+            who, keys = (np.concatenate(x) for x in far)
+            out = []
+            for k, at in _by_bucket(keys, look.buckets):
+                at = at[np.argsort(who[at], kind="stable")]
+                first = np.flatnonzero(np.concatenate(([True], who[at][1:] != who[at][:-1])))
+                out.append((k, keys[at], row[who[at][first]], np.diff(np.append(first, len(at)))))
+            return _dealt(_LOOKUP, out)
 
         for b in batches:
             row, out_ = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             n, known, base, score = (np.zeros(len(b), dtype=t) for t in (np.int64, np.int64, float, float))
-            far: list[list[np.ndarray]] = [[], [], []]  # text, key, what is added if the key is found
-            for lo, hi, t, off in _with_ends(b.column(3).to_pylist()):
-                size = np.diff(off)
-                owner = np.repeat(np.arange(hi - lo), size)
-                u = _contexts(t, off)
-                (at, there), (before, open_) = look.find(t), look.find(u)
-                c = np.where(there, look.counts[at], 0)
-                single = np.where(there & (c > 0), look.token_log[at], look.unseen)
-                weight = np.where(open_, look.weight_log[before], 0.0)
-                near = open_ & there & (c > 0)
-                keys = _pair_keys(u, t)
-                value = single + weight
-                more = np.where(near, -look.total_log[before] - value, 0.0)
-                todo = near if look.all_tokens else np.ones(len(t), dtype=bool)
-                if len(look.pairs):
-                    p = np.minimum(np.searchsorted(look.pairs, keys), len(look.pairs) - 1)
-                    seen = look.pairs[p] == keys
-                    value[seen] += look.gains[p[seen]]
-                    todo = todo & ~seen
-                if look.all_pairs:
-                    todo[:] = False
-                k = np.flatnonzero(todo & near & ~out_[lo:hi][owner])
-                h = keys[k] & mask
-                k = k[(look.repeated[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 0]
-                value[k] += once + more[k]
-                todo[k] = False
-                n[lo:hi] = size
-                known[lo:hi] = np.bincount(owner, (c > 0).astype(float), minlength=hi - lo)
-                base[lo:hi] = np.bincount(owner, np.log10(c + 1) - smooth, minlength=hi - lo)
-                score[lo:hi] = np.bincount(owner, value, minlength=hi - lo)
-                for part, which in ((keys, todo), (t, ~there if not look.all_tokens else ())):
+            far: list[list[np.ndarray]] = [[], []]  # text, hash
+            size = 0
+            for part in _looked_up(look, b.column(3).to_pylist(), out_):
+                for x, y in zip((n, known, base, score), (part.size, part.known, part.base, part.score), strict=True):
+                    x[part.lo : part.hi] = y
+                for hashes, which in ((part.keys, part.far), (part.tokens, part.rare)):
                     k = np.flatnonzero(which)
                     if len(k):
-                        for x, y in zip(far, (owner[k] + lo, part[k], more[k] if part is keys else np.zeros(len(k))), strict=True):
-                            x.append(y)
-                if sum(map(len, far[0])) >= SEND:
+                        far[0].append(part.owner[k] + part.lo)
+                        far[1].append(hashes[k])
+                        size += len(k)
+                if size >= SEND:
                     yield sent(row, far)
-                    far = [[], [], []]
-            # the text itself travels under a key of its own, which no table has
-            facts = pa.StructArray.from_arrays([b.column(1), pa.array(out_), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], fields=list(info))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.nulls(len(b), pa.float32()), facts], schema=schema)
-            if far[0]:
+                    far, size = [[], []], 0
+            if size:
                 yield sent(row, far)
+            facts = pa.StructArray.from_arrays([b.column(0), b.column(1), *map(pa.array, (out_, n, known, base, score))], fields=list(_INFO))
+            blank = pa.nulls(len(b), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(row % look.buckets), pa.array(np.full(len(b), _TEXT, dtype=np.int32)), blank, blank, blank, facts], schema=_DEALT)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    parts = rows.mapInArrow(run, "row long, key long, value float, info struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>")
-    parts = parts.join(entries, "key", "left")
-    own = F.col("info").isNotNull()
-    found = F.col("gain").isNotNull() & ~own
-    score = F.when(own, F.col("info.score")).when(found, F.col("value") + F.col("gain")).otherwise(0.0)
-    base = F.when(own, F.col("info.base")).when(found, F.log10(F.col("c") + 1)).otherwise(0.0)
-    known = F.when(own, F.col("info.n_known")).when(found & (F.col("c") > 0), 1).otherwise(0)
+    dealt = rows.mapInArrow(run, _DEALT_SQL).unionByName(entries).repartition(look.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    parts = dealt.mapInArrow(_met, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     out = parts.groupBy("row").agg(
-        F.max("info.doc_id").alias("doc_id"), F.max("info.held_out").alias("held_out"), F.max("info.n_tokens").alias("n_tokens"), F.sum(known).cast("long").alias("n_known"), F.sum(base).alias("base_score"), F.sum(score).alias("score")
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(look.n).cast("long").alias("train_tokens"), "base_score", "score")
