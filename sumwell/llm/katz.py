@@ -403,7 +403,6 @@ def fit(docs: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int =
     spark = docs.sparkSession
     train = docs.where(~F.col("held_out"))
     tokens = scratch.write(_training_counts(train, 1), "counts/order=1")
-    scratch.release()
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"])
     top = most_frequent(tokens, "c", local).toArrow()
@@ -421,8 +420,7 @@ def fit(docs: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int =
     look = Lookup(keys, counts, len(top) == v, n, v, discounts, keep, float(np.log10(unseen)), token_log)
     given = spark.sparkContext.broadcast(look)
 
-    pairs = scratch.write(_training_counts(train, 2), "counts/order=2")
-    scratch.release()
+    pairs = scratch.write(_training_counts(train, 2), "counts/order=2", "zstd")
     kinds, d2 = pairs.count(), good_turing(counts_of_counts(pairs))
     look.buckets = max(2 * spark.sparkContext.defaultParallelism, kinds // BUCKET)
     sums = _context_sums(pairs, given, d2)
@@ -438,7 +436,6 @@ def fit(docs: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int =
     total = F.log10(F.when(none, F.col("kept") * (F.col("n") + 1) / F.col("n")).otherwise(F.col("n")))
     contexts = scratch.write(sums.select("u", F.log10(free / (1 - F.col("lower"))).alias("weight"), total.alias("total")), "contexts")
 
-    scratch.release()
     mine = _split(contexts, ["u"], given, True).toArrow()  # a row per locally held token
     given.destroy()
     at, _ = look.find(mine["u"].to_numpy().view(np.uint64))
@@ -471,7 +468,6 @@ def fit(docs: DataFrame, scratch: Scratch, local: int = LOCAL, most_pairs: int =
     entries = scratch.write(entries, "entries")
     given.destroy()
     scratch.drop("counts", "contexts", "far", "rare")
-    scratch.release()
     look.wanted = None
     return look, entries
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Edges that one task contracts by union-find; about 200 bytes of memory each.
 TASK_EDGES = 500_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,15 +35,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """Write and read again; the shuffle files of the write, which nothing needs any more, are deleted with its end."""
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of written tables, which nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read any more."""
         jvm = self.spark.sparkContext._jvm
