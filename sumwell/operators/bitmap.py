@@ -23,8 +23,10 @@ from sumwell.sources.tables import fetch, table
 
 CHUNK_BITS = 64
 MAX_OUTCOME_VALUES = 64
-#: Cells of a panel that may come to the driver for a bootstrap.
+#: Cells of a panel that may come to the driver for a bootstrap, a byte each with up to 64 outcome values.
 MAX_PANEL_CELLS = 20_000_000
+#: Units whose cells of a period come to the driver as one row.
+ROW_UNITS = 4096
 
 
 @dataclass
@@ -177,14 +179,26 @@ class _Bitmap:
     def far(self) -> bool:
         return self.panel.n_units * self.panel.n_times > MAX_PANEL_CELLS
 
-    def panel_arrays(self):
-        """y and w as (units, times), for draws on the driver."""
+    def panel_codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells as numbers (periods, units), 2 k + w for the k-th outcome value, and outcome and treatment by number; for draws on the driver."""
         p = self.panel
-        g = fetch(p.rows.select("unit_index", "time_index", "y", "w", "cohort"), MAX_PANEL_CELLS)
-        y, w, c = np.zeros((p.n_units, p.n_times)), np.zeros((p.n_units, p.n_times)), np.zeros(p.n_units, dtype=int)
-        i, t = g["unit_index"].to_numpy(), g["time_index"].to_numpy()
-        y[i, t], w[i, t], c[i] = g["y"], g["w"], g["cohort"]
-        return y, w, c
+        n = len(p.outcome_values)
+        kind, size = next((k, b) for k, b in (("tinyint", 8), ("smallint", 16), ("int", 32)) if 2 * n <= 1 << (b - 1))
+        numbers = p.rows.sparkSession.createDataFrame(list(enumerate(p.outcome_values)), "k int, y double")
+        cells = p.rows.join(F.broadcast(numbers), "y").select("time_index", F.floor(F.col("unit_index") / ROW_UNITS).alias("part"), F.struct("unit_index", (2 * F.col("k") + F.col("w")).cast(kind).alias("code")).alias("cell"))
+        got = cells.groupBy("time_index", "part").agg(F.sort_array(F.collect_list("cell"))["code"].alias("codes")).toArrow()
+        codes = np.full((p.n_times, p.n_units), -1, dtype=f"int{size}")
+        for t, part, row in zip(got["time_index"].to_pylist(), got["part"].to_pylist(), got["codes"], strict=True):
+            codes[t, part * ROW_UNITS : (part + 1) * ROW_UNITS] = row.values.to_numpy()
+        if codes.min() < 0:
+            raise ValueError("the panel is not balanced")
+        return codes, np.repeat(p.outcome_values, 2), np.tile([0.0, 1.0], n)
+
+    def unit_cohorts(self) -> np.ndarray:
+        got = self.panel.rows.where("time_index = 0").select("unit_index", "cohort").toArrow()
+        out = np.zeros(self.panel.n_units, dtype=int)
+        out[got["unit_index"].to_numpy()] = got["cohort"].to_numpy()
+        return out
 
 
 class BitmapMundlak(_Bitmap, Estimator):
@@ -234,12 +248,12 @@ class BitmapMundlak(_Bitmap, Estimator):
         if self.far():
             self.draws = np.array([self.solve(m, n) for m, n in self.far_moments()])
             return covariance(self.draws)
-        y, w, _ = self.panel_arrays()
-        n, draws = len(y), []
-        c, sy, wy = w.sum(axis=1), y.sum(axis=1), (w * y).sum(axis=1)
+        codes, y, w = self.panel_codes()
+        n, draws = self.panel.n_units, []
+        c, sy, wy = (sum(v[row] for row in codes) for v in (w, y, w * y))
         for _ in range(self.n_bootstraps):
             m = np.bincount(self.rng.integers(0, n, n), minlength=n).astype(float)
-            d, ty = m @ w, m @ y
+            d, ty = (np.array([m @ v[row] for row in codes]) for v in (w, y))
             draws.append(self.solve({"sum_w": m @ c, "sum_c2": m @ (c * c), "sum_y": m @ sy, "sum_wy": m @ wy, "sum_cy": m @ (c * sy), "sum_d2": d @ d, "sum_dy": d @ ty}, n))
         self.draws = np.array(draws)
         return covariance(self.draws)
@@ -279,13 +293,14 @@ class BitmapEventStudy(_Bitmap, CellModel):
                 draws.append(self.flat(effects(wls(self.matrix[ok], s[ok] / count[ok], count[ok]), self.names, self.cohorts, self.last)))
             self.draws = np.array(draws)
             return self.by_cohort(self.draws)
-        y, _, cohort = self.panel_arrays()
-        n, draws = len(y), []
-        names = sorted(self.panel.cohorts)
-        member = (cohort[:, None] == np.array(names)[None, :]).astype(float)
+        codes, y, _ = self.panel_codes()
+        n, draws = self.panel.n_units, []
+        names = self.panel.all_cohorts
+        member = np.searchsorted(names, self.unit_cohorts())
+        by_name = lambda v: np.bincount(member, weights=v, minlength=len(names))
         for _ in range(self.n_bootstraps):
             m = np.bincount(self.rng.integers(0, n, n), minlength=n).astype(float)
-            size, total = m @ member, (member * m[:, None]).T @ y
+            size, total = by_name(m), np.array([by_name(m * y[row]) for row in codes]).T
             k = self.sums["cohort"].map({c: i for i, c in enumerate(names)}).to_numpy()
             count, s = size[k], total[k, self.sums["time_index"].to_numpy()]
             ok = count > 0

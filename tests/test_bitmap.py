@@ -1,11 +1,14 @@
 """Packed panels against the long form."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import sumwell as sw
+from sumwell.operators import bitmap
 from sumwell.operators.bitmap import cohort_time_sums, margin_moments, static_moments, word_text
 
 
@@ -55,6 +58,40 @@ def test_models_equal_the_grouped_ones(spark):
         assert (p.summary()["4"]["se"] >= 0).all()
 
 
+@pytest.mark.parametrize("values", [4, 90])
+def test_draws_equal_those_of_the_long_form(spark, monkeypatch, values):
+    monkeypatch.setattr(bitmap, "ROW_UNITS", 8, raising=False)  # several rows a period
+    d = wide(37, 5, 3)
+    d["Y_it"] = np.random.default_rng(values).integers(0, values, len(d)) * 0.5 - 1
+    packed = sw.pack_long_panel(spark.createDataFrame(d).repartition(3), max_outcome_values=200)
+    static, event = (m(packed, n_bootstraps=2, seed=9).fit() for m in (sw.BitmapMundlak, sw.BitmapEventStudy))
+    y, w = (d.pivot(index="unit_id", columns="time_id", values=c).to_numpy() for c in ("Y_it", "W_it"))
+    rng = np.random.default_rng(9)
+    for mine, cells in zip(static.draws, event.draws, strict=True):
+        drawn = rng.integers(0, 37, 37)
+        a, b = w[drawn].astype(float), y[drawn]
+        x = np.column_stack([np.ones(b.size), a.ravel(), np.repeat(a.mean(axis=1), 5), np.tile(a.mean(axis=0), 37)])
+        np.testing.assert_allclose(mine, np.linalg.lstsq(x, b.ravel(), rcond=None)[0], atol=1e-9)
+        long = pd.DataFrame({"unit_id": np.repeat(np.arange(37), 5), "time_id": np.tile(np.arange(5), 37), "Y_it": b.ravel(), "W_it": a.ravel().astype(int)})
+        whole = sw.BitmapEventStudy.from_long(spark.createDataFrame(long), max_outcome_values=200).fit()
+        assert whole.cohorts == event.cohorts  # else a draw has fewer cells
+        np.testing.assert_allclose(cells, whole.flat(whole.point_estimate), atol=1e-9)
+
+
+def test_draws_hold_a_few_bytes_a_cell(spark):
+    n, t = 6000, 30
+    i = F.col("id")
+    long = spark.range(n * t).select((i % n).alias("unit_id"), F.floor(i / n).cast("int").alias("time_id"), (F.xxhash64("id") % 4).cast("int").alias("Y_it"), ((i % n) % 3 * 20 + 5 <= F.floor(i / n)).cast("int").alias("W_it"))
+    packed = sw.pack_long_panel(long)
+    for model in (sw.BitmapMundlak, sw.BitmapEventStudy):
+        m = model(packed, n_bootstraps=3).fit()
+        tracemalloc.start()
+        m.bootstrap()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * n * t  # Python rows take some hundred
+
+
 def test_bad_panels_are_refused(spark):
     d = wide(4, 5)
     bad = {
